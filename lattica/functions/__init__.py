@@ -1,0 +1 @@
+"""Column expressions: vectors, names and places. All run inside the JVM but normalise_names."""

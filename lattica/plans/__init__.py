@@ -1,7 +1,14 @@
-"""Registered queries."""
+"""Registered queries: the engine's operators over the driver's tables, each with the SQL that it must agree with."""
 
-QUERIES, ORACLE_SQL = {}, {}
+from __future__ import annotations
 
+from .observations import ORACLES as _A
+from .observations import QUERIES as _B
+from .similarity import ORACLES as _C
+from .similarity import QUERIES as _D
+from .similarity import flagship
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+QUERIES = {**_D, **_B}
+ORACLE_SQL = {**_C, **_A}
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
