@@ -79,7 +79,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS) -> dic
         return lambda batch: {"doc_id": batch["doc_id"], "x": [features(t) for t in batch["text"]], "label": batch["label"]}
 
     rows = map_rows(training_sample(docs, labels, "quality", bound), start, "doc_id long, x array<double>, label int").toPandas().sort_values("doc_id")
-    x = np.array(rows.x.tolist(), float).reshape(len(rows), -1)
+    x = np.array([*rows.x], float).reshape(len(rows), len(features("")))
     return fit(x, rows.label.to_numpy())
 
 
