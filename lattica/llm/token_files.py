@@ -12,8 +12,11 @@ is run again leaves the same file.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
+import sys
+import types
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -41,6 +44,52 @@ END_ID = 0
 ENCODE_CHARS = 1 << 20
 
 
+#: Encoded pieces that a worker process keeps from task to task; they are dropped when there are more.
+CACHE_PIECES = 600_000
+
+
+class Encoder:
+    """Ids of whole texts, as little-endian unsigned 32-bit integers, from a tokenizers file.
+
+    A byte-level tokenizer that splits off words with the space before them, and does nothing else to a text, gives a text
+    without two spaces in a row the ids of its pieces, cut before every space. Words come again and again, so each
+    worker process keeps the library's ids of the pieces it has met. All other tokenizers and texts are encoded as a whole.
+    """
+
+    def __init__(self, file: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(file)
+        self.encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        own = json.loads(tokenizer.to_str())
+        split = own.get("pre_tokenizer") or {}
+        added = [x["content"] for x in own.get("added_tokens") or []]
+        self.by_piece = not own.get("normalizer") and own["model"]["type"] == "BPE" and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not any(" " in x for x in added)
+        self.by_piece &= not any(x.get(k) for x in own.get("added_tokens") or [] for k in ("lstrip", "rstrip", "single_word"))
+        self.first: dict[str, bytes] = {"": b""}
+        self.rest: dict[str, bytes] = {}
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.encode(texts, add_special_tokens=False)]
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        if not self.by_piece:
+            return self.whole(texts)
+        for known in (self.first, self.rest):
+            if len(known) > CACHE_PIECES:
+                known.clear()
+        self.first[""] = b""
+        pieces = [None if "  " in t else t.split(" ") for t in texts]
+        new = list({p[0] for p in pieces if p} - self.first.keys())
+        self.first.update(zip(new, self.whole(new), strict=True))
+        new = list(set().union(*(p[1:] for p in pieces if p)) - self.rest.keys())
+        self.rest.update(zip(new, self.whole([f" {x}" for x in new]), strict=True))
+        others = iter(self.whole([t for t, p in zip(texts, pieces, strict=True) if p is None]))
+        find = self.rest.__getitem__
+        return [self.first[p[0]] + b"".join(map(find, p[1:])) if p else next(others) for p in pieces]
+
+
 class TokenFileWriter:
     """Appends documents to a binary stream; finish() adds the directory and the seek table."""
 
@@ -152,11 +201,11 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame
     target, source = tokenizer, folder
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        encoder = Tokenizer.from_file(target)
-        encode = getattr(encoder, "encode_batch_fast", encoder.encode_batch)
+        # Spark reuses worker processes, and modules outlast the tasks in them.
+        state = sys.modules.setdefault("lattica_worker_state", types.ModuleType("lattica_worker_state"))
+        if target not in vars(state):
+            setattr(state, target, Encoder(target))
+        encoder, end = getattr(state, target), struct.pack("<I", END_ID)
         number = TaskContext.get().partitionId()
         store, base = pa.fs.FileSystem.from_uri(source)
         store.create_dir(base, recursive=True)
@@ -166,8 +215,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame
             writer = TokenFileWriter(out)
 
             def flush(held: list[tuple[int | None, str]]) -> None:
-                for (doc_id, _), found in zip(held, encode([t for _, t in held], add_special_tokens=False), strict=True):
-                    writer.add(doc_id, np.array([*found.ids, END_ID], np.uint32))
+                for (doc_id, _), ids in zip(held, encoder.batch([t for _, t in held]), strict=True):
+                    writer.add(doc_id, np.frombuffer(ids + end, "<u4"))
 
             for batch in batches:
                 held, chars = [], 0
