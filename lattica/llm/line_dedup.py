@@ -49,5 +49,6 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
     places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drop"))
     kept = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n"))
-    out = texts.join(drops, "row", "left")
+    # The same join at every size: left to itself, it broadcasts what a small table's lines make of drops.
+    out = texts.join(drops.hint("merge"), "row", "left")
     return out.select("doc_id", n_lines.alias("n_lines"), F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("long").alias("n_removed"), kept.alias("text"))
