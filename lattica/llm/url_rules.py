@@ -19,6 +19,7 @@ from .common import lower_ascii, map_rows
 #: (verdict, rule): a rule is a host, /, and how the path must begin.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 SUPPORT, CONFIDENCE = 0.002, 0.6
+#: Tokens of a labelled URL that mining looks at: combinations double with each. Matching looks at all.
 MAX_TOKENS = 12
 MAX_RULES = 100_000
 BAD = "label=bad"
@@ -46,7 +47,7 @@ def fixed_rule(rules: tuple[tuple[str, str], ...] = RULES) -> Column:
 
 
 def tokens() -> Column:
-    """Distinct tokens of columns url, host and path, MAX_TOKENS at most by their kind: scheme, host's name, end and parts, path's
+    """Distinct tokens of columns url, host and path, by their kind: scheme, host's name, end and parts, path's
     parts and ending, names of the query's fields, fragment."""
     labels = F.split("host", r"\.")
     named = lambda kind, xs: F.transform(F.filter(xs, lambda x: x != ""), lambda x: F.concat(F.lit(kind), x))
@@ -61,7 +62,7 @@ def tokens() -> Column:
         named("field:", F.transform(F.split(query, "&"), lambda x: F.split(x, "=")[0])),
         F.when(F.col("url").contains("#"), F.array(F.lit("fragment"))).otherwise(F.array().cast("array<string>")),
     )
-    return F.slice(F.array_distinct(every), 1, MAX_TOKENS)
+    return F.array_distinct(every)
 
 
 def split_urls(pages: DataFrame) -> DataFrame:
@@ -74,7 +75,8 @@ def mine(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confiden
     quality or toxic; pages without a label, or with nothing known in it, take no part."""
     bad = (F.coalesce(F.col("quality") == 0, F.lit(False))) | (F.coalesce(F.col("toxic") == 1, F.lit(False)))
     known = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy(F.col("doc_id").alias("page_id")).agg(F.max(bad.cast("int")).alias("bad"))
-    baskets = split_urls(pages).join(known, "page_id").select(F.when(F.col("bad") == 1, F.concat(tokens(), F.array(F.lit(BAD)))).otherwise(tokens()).alias("items"))
+    first = F.slice(tokens(), 1, MAX_TOKENS)
+    baskets = split_urls(pages).join(known, "page_id").select(F.when(F.col("bad") == 1, F.concat(first, F.array(F.lit(BAD)))).otherwise(first).alias("items"))
     if not baskets.limit(1).count():
         return []
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
