@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, places
-from ..operators import cells, spatial, tables
+from ..operators import cells, graphs, regions, spatial, tables
 from ..sources import tables as read
 from ..streaming import daily_counts
 
@@ -348,3 +348,36 @@ def melted(spark, sf):
 def bounds(spark, sf):
     ok = F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180)
     return _obs(spark, sf).agg(F.min("lon").alias("min_lon"), F.max("lon").alias("max_lon"), F.min("lat").alias("min_lat"), F.max("lat").alias("max_lat"), F.bool_and(ok).alias("valid"))
+
+
+_FLOWS = "t AS (SELECT c_nationkey AS a, s_nationkey AS b, sum(l_quantity)::DOUBLE AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)"
+
+
+def _flows(spark, sf) -> DataFrame:
+    lines, orders, customers, suppliers = read(spark, sf, "lineitem", "orders", "customer", "supplier")
+    found = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+    return found.groupBy(F.col("c_nationkey").alias("a"), F.col("s_nationkey").alias("b")).agg(F.sum("l_quantity").cast("double").alias("weight"))
+
+
+@_query(f"WITH {_FLOWS}, g AS (SELECT x.n_regionkey AS ca, y.n_regionkey AS cb, weight FROM t JOIN nation x ON a = x.n_nationkey JOIN nation y ON b = y.n_nationkey), d AS (SELECT c, sum(weight) AS k FROM (SELECT ca AS c, weight FROM g UNION ALL SELECT cb, weight FROM g) GROUP BY c), m AS (SELECT sum(weight) AS m FROM g) SELECT round((SELECT sum(weight) FROM g WHERE ca = cb) / m - (SELECT sum(k * k) FROM d) / (4 * m * m), 6) AS modularity FROM m")
+def region_modularity(spark, sf):
+    (nations,) = read(spark, sf, "nation")
+    return _rounded(graphs.modularity(_flows(spark, sf), nations.select("n_nationkey", "n_regionkey")))
+
+
+@_query(f"WITH {_FLOWS} SELECT a, b, weight, round(weight / sum(weight) OVER (PARTITION BY a), 6) AS share FROM t")
+def flow_shares(spark, sf):
+    return _rounded(graphs.relation_shares(_flows(spark, sf)).select("a", "b", "weight", "share"))
+
+
+_BOX = "k.lon AS x0, k.lat AS y0, k.lon + 3 AS x1, k.lat + 2 AS y1"
+
+
+@_query(f"WITH {_O}, k AS (SELECT event_id AS id, lon, lat FROM o WHERE event_type = 'click'), b AS (SELECT id, {_BOX} FROM k), s AS (SELECT s_suppkey AS id, (s_suppkey * 53 % 340) - 170.0 AS x0, (s_suppkey * 29 % 160) - 80.0 AS y0 FROM supplier) SELECT b.id AS left_id, s.id AS right_id FROM b JOIN s ON b.x0 <= s.x0 + 5.5 AND s.x0 <= b.x1 AND b.y0 <= s.y0 + 4.5 AND s.y0 <= b.y1")
+def boxes_that_meet(spark, sf):
+    box = lambda x, y, w, h: regions.box_ring(x, y, x + w, y + h)
+    k = _obs(spark, sf).where("event_type = 'click'").select(F.col("event_id").alias("id"), box(F.col("lon"), F.col("lat"), 3, 2).alias("ring"))
+    (suppliers,) = read(spark, sf, "supplier")
+    key = F.col("s_suppkey")
+    s = suppliers.select(key.alias("id"), box((key * 53 % 340) - F.lit(170.0), (key * 29 % 160) - F.lit(80.0), 5.5, 4.5).alias("ring"))
+    return regions.intersecting(k, s)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import cells, edges, modes, pairs
+from ..operators import cells, clusters, edges, modes, pairs
 from ..sources import tables
 
 K = 10
@@ -259,3 +259,8 @@ def edge_diff(spark, sf):
 @_query("SELECT count(DISTINCT label) * (count(DISTINCT label) - 1) // 2 AS expected_pairs FROM embeddings")
 def expected_pair_count(spark, sf):
     return _cells(spark, sf).agg(F.expr("count(distinct city) * (count(distinct city) - 1) div 2").alias("expected_pairs"))
+
+
+@_query()
+def elbows(spark, sf):
+    return _rounded(clusters.elbow_table(_cells(spark, sf), [2, 4, 8]))

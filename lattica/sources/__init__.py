@@ -111,3 +111,8 @@ def purge(spark: SparkSession, path: str, partitions: list[str], dry_run: bool =
 def pending(expected: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """What is left to do of a resumed run."""
     return expected.select(*keys).distinct().join(done.select(*keys).distinct(), keys, "left_anti")
+
+
+def replace_partitions(df: DataFrame, path: str, keys: list[str]) -> None:
+    """Writes the partitions that df holds, and leaves the dataset's others as they are: the repair of some of a run."""
+    df.repartition(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
