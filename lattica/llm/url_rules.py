@@ -1,16 +1,19 @@
 """URL filters: fixed host and path rules first, and rules mined from labelled pages for the rest.
 
-Spark's FP-growth mines combinations of URL tokens that go with bad pages. A mined rule is kept if its support and its
-confidence reach the bounds and no rule with fewer of the same tokens is as sure. The kept rules are few, since every
-supported combination has the support of many pages, and match by an inverted index: each is filed under its rarest
-token, and only the rules filed under a URL's own tokens are compared with it.
+FP-growth mines combinations of all tokens of labelled URLs that go with bad pages, each item's conditional patterns in a
+task. A mined rule is kept if its support and its confidence reach the bounds and no rule with fewer of the same tokens is
+as sure; so a token that a combination implies (as a host does its end) isn't added to it, which Spark's own FP-growth
+can't leave out: its combinations double with each token. The kept rules are few, since every supported combination has
+the support of many pages, and match by an inverted index: each is filed under its rarest token, and only the rules filed
+under a URL's own tokens are compared with it.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from itertools import islice
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,10 +22,7 @@ from .common import lower_ascii, map_rows
 #: (verdict, rule): a rule is a host, /, and how the path must begin.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 SUPPORT, CONFIDENCE = 0.002, 0.6
-#: Tokens of a labelled URL that mining looks at: combinations double with each. Matching looks at all.
-MAX_TOKENS = 12
 MAX_RULES = 100_000
-BAD = "label=bad"
 
 
 def host(url: Column) -> Column:
@@ -70,19 +70,79 @@ def split_urls(pages: DataFrame) -> DataFrame:
     return named.withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url")))
 
 
+def _conditional(baskets: DataFrame, names: list[str]) -> DataFrame:
+    """item, before, n and n_bad: for each item of names (by falling frequency) of each basket the items before it."""
+
+    def start() -> Callable[[dict], dict]:
+        place = {t: i for i, t in enumerate(names)}
+
+        def apply(batch: dict) -> dict:
+            out = {"item": [], "before": [], "n": [], "n_bad": []}
+            for items, n, n_bad in zip(batch["items"], batch["n"], batch["n_bad"], strict=True):
+                own = sorted(place[t] for t in items if t in place)
+                for k, i in enumerate(own):
+                    for c, x in zip(out, (i, own[:k], n, n_bad), strict=True):
+                        out[c].append(x)
+            return out
+
+        return apply
+
+    every = map_rows(baskets, start, "item int, before array<int>, n long, n_bad long")
+    return every.groupBy("item", "before").agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad"))
+
+
+def _grown(conditional: DataFrame, least: int, confidence: float) -> DataFrame:
+    """items_ and confidence of the rules that end in each item. An item that all rows of a set have adds nothing to the
+    set, and a rule no surer than one it grew from isn't kept: neither is grown further where no kept rule can follow."""
+
+    def grow(items: tuple, n: int, base: dict, surest: float):
+        counts: dict[int, list[int]] = {}
+        for before, (k, k_bad) in base.items():
+            for i in before:
+                have = counts.setdefault(i, [0, 0])
+                have[0] += k
+                have[1] += k_bad
+        for i, (k, k_bad) in counts.items():
+            if k_bad >= least and k < n:
+                yield from rule((*items, i), k, k_bad, {before: v for before, v in base.items() if i in before}, surest)
+
+    def rule(items: tuple, n: int, n_bad: int, rows: dict, surest: float):
+        if n_bad / n >= confidence and n_bad / n > surest:
+            surest = n_bad / n
+            yield [*items], surest
+        if surest < 1:
+            base: dict[tuple, tuple] = {}
+            for before, (k, k_bad) in rows.items():
+                own = before[: before.index(items[-1])] if len(items) > 1 else before
+                have = base.get(own, (0, 0))
+                base[own] = (have[0] + k, have[1] + k_bad)
+            yield from grow(items, n, base, surest)
+
+    def run(pdf):
+        import pandas as pd
+
+        rows = {tuple(map(int, b)): (int(k), int(k_bad)) for b, k, k_bad in zip(pdf.before, pdf.n, pdf.n_bad, strict=True)}
+        found = rule((int(pdf["item"].iloc[0]),), int(pdf.n.sum()), int(pdf.n_bad.sum()), rows, -1.0)
+        return pd.DataFrame([*islice(found, MAX_RULES + 1)], columns=["items_", "confidence"])
+
+    return conditional.groupBy("item").applyInPandas(run, "items_ array<int>, confidence double")
+
+
 def mine(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> list[tuple[list[str], float]]:
     """(tokens, confidence) of the rules that call a page bad. A page is bad if the label of its id says it's of low
     quality or toxic; pages without a label, or with nothing known in it, take no part."""
     bad = (F.coalesce(F.col("quality") == 0, F.lit(False))) | (F.coalesce(F.col("toxic") == 1, F.lit(False)))
     known = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy(F.col("doc_id").alias("page_id")).agg(F.max(bad.cast("int")).alias("bad"))
-    first = F.slice(tokens(), 1, MAX_TOKENS)
-    baskets = split_urls(pages).join(known, "page_id").select(F.when(F.col("bad") == 1, F.concat(first, F.array(F.lit(BAD)))).otherwise(first).alias("items"))
-    if not baskets.limit(1).count():
+    baskets = split_urls(pages).join(known, "page_id").groupBy(tokens().alias("items")).agg(F.count("*").alias("n"), F.sum("bad").alias("n_bad"))
+    n = baskets.agg(F.sum("n")).first()[0]
+    if not n:
         return []
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
-    # Rules with another consequent say nothing of a page's label.
-    rules = model.associationRules.where(F.array_contains("consequent", BAD)).select("antecedent", "confidence")
-    found = [(sorted(r.antecedent), r.confidence) for r in rules.orderBy(F.desc("confidence"), F.size("antecedent"), "antecedent").limit(MAX_RULES + 1).collect()]
+    least = max(1, math.ceil(support * n))
+    # Tokens that reach the support, at most 1 / support times those of a URL.
+    often = baskets.select(F.explode("items").alias("token"), "n", "n_bad").groupBy("token").agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad")).where(F.col("n_bad") >= least)
+    names = [r.token for r in often.orderBy(F.desc("n"), "token").collect()]
+    rules = _grown(_conditional(baskets, names), least, confidence)
+    found = [(sorted(names[i] for i in r.items_), r.confidence) for r in rules.orderBy(F.desc("confidence"), F.size("items_"), "items_").limit(MAX_RULES + 1).collect()]
     if len(found) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} rules: raise support or confidence")
     kept: list[tuple[list[str], float]] = []

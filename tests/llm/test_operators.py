@@ -3,6 +3,7 @@ against brute force where SQL can't say what is right."""
 
 import hashlib
 import io
+import itertools
 import re
 import zlib
 
@@ -248,6 +249,31 @@ def test_mined_url_rules_match_brute_force(spark):
     assert got == {i: "block" if i % 3 == 0 and i % 2 else "allow" for i in range(60)}
 
 
+def test_mined_url_rules_see_every_token_of_long_urls(spark):
+    deep = "http://a.b.c.org/one/two/three/four/five/six"
+    urls = [f"{deep}/{'spam' if i % 3 == 0 else 'news'}/{i}?id=1&{'track' if i % 2 else 'page'}=2" for i in range(60)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    marks = spark.createDataFrame([(i, int(not (i % 3 == 0 and i % 2)), 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    assert url_rules.mine(pages, marks, 0.05, 0.9) == [(["dir:spam", "field:track"], 1.0)]
+
+
+def test_mined_url_rules_are_all_minimal_ones(spark):
+    draw = np.random.default_rng(5)
+    parts = [sorted({f"p{k}" for k in draw.integers(0, 9, 6)}) for _ in range(80)]
+    bad = [int("p1" in x and "p4" in x or draw.random() < 0.3) for x in parts]
+    pages = spark.createDataFrame([(i, f"http://h.org/{'/'.join(x)}") for i, x in enumerate(parts)], "page_id long, url string")
+    marks = spark.createDataFrame([(i, 1 - b, 0) for i, b in enumerate(bad)], "doc_id long, quality int, toxic int")
+    baskets = [{"scheme:http", "host:h.org", "end:org", "label:h", "label:org", *(f"dir:{p}" for p in x)} for x in parts]
+    want = {}
+    every = sorted(set().union(*baskets))
+    for size in range(1, max(map(len, baskets)) + 1):
+        for items in itertools.combinations(every, size):
+            rows = [b for x, b in zip(baskets, bad, strict=True) if x.issuperset(items)]
+            if sum(rows) >= 4 and sum(rows) / len(rows) >= 0.5 and not any(v >= sum(rows) / len(rows) and set(k) < set(items) for k, v in want.items()):
+                want[items] = sum(rows) / len(rows)
+    assert len(want) > 5 and {tuple(k): v for k, v in url_rules.mine(pages, marks, 0.05, 0.5)} == want
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [docs.count()]
