@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,6 +53,31 @@ def test_caps(spark):
     assert len(rows(pairs.cap_pairs(p, 5))) == 3
 
 
+def test_caps_go_on_beyond_a_hot_source(spark):
+    schema = "city1 string, city2 string, id1 string, id2 string, hex_id1 string, hex_id2 string, similarity double"
+    hot = [("A", "B", "hot", f"t{i}", "x", f"y{i % 90}", 0.9 - i / 1e6) for i in range(10_500)]
+    rest = [("A", "B", f"s{i}", "t", "x", "z", 0.5 - i / 1e3) for i in range(3)]
+    found = rows(pairs.cap_pairs(spark.createDataFrame(hot + rest, schema), 5, 2, 2), "id1", "id2")
+    assert found == [("hot", "t0"), ("hot", "t1"), ("s0", "t"), ("s1", "t")]
+
+
+@pytest.mark.parametrize(("n", "per_source", "per_cells"), [(4, 1, 2), (6, 2, 0), (6, 0, 3), (5, 0, 0), (40, 3, 4)])
+def test_caps_match_a_walk_over_all_candidates(spark, n, per_source, per_cells):
+    draw = random.Random(n)
+    schema = "city1 string, city2 string, id1 string, id2 string, hex_id1 string, hex_id2 string, similarity double"
+    data = [(c, "Z", f"i{min(draw.randrange(30), draw.randrange(30))}", f"i{draw.randrange(30)}", f"h{draw.randrange(4)}", f"h{draw.randrange(4)}", draw.randrange(200) / 200) for c in "AB" for _ in range(900)]
+    want = []
+    for city in "AB":
+        seen, sources, near = set(), {}, {}
+        for r in sorted((r for r in data if r[0] == city), key=lambda r: (-r[6], *r[2:6])):
+            pair, cell = frozenset(r[2:4]), frozenset(r[4:6])
+            if len(seen) < n and pair not in seen and not (per_source and sources.get(r[2], 0) >= per_source) and not (per_cells and near.get(cell, 0) >= per_cells):
+                seen.add(pair)
+                sources[r[2]], near[cell] = sources.get(r[2], 0) + 1, near.get(cell, 0) + 1
+                want.append(r)
+    assert rows(pairs.cap_pairs(spark.createDataFrame(data, schema), n, per_source, per_cells)) == sorted(want)
+
+
 def test_mmr_prefers_a_different_pair(spark):
     data = [("A", "B", "1", "1", [1.0, 0.0], [1.0, 0.0], 0.99), ("A", "B", "2", "2", [1.0, 0.01], [1.0, 0.0], 0.98), ("A", "B", "3", "street", [0.0, 1.0], [0.0, 1.0], 0.90)]
     p = spark.createDataFrame(data, "city1 string, city2 string, id1 string, id2 string, vec1 array<double>, vec2 array<double>, similarity double")
