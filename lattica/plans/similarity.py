@@ -65,6 +65,13 @@ def topk_between_cities(spark, sf):
     return _rounded(pairs.topk_pairs(c.where("city = '0'"), c.where("city = '1'"), 3).select("id1", "id2", "similarity", "rank"))
 
 
+@_query(f"WITH {_P}, t AS (SELECT id1, id2, s, row_number() OVER (PARTITION BY id1 ORDER BY round(s, 9) DESC, id2) AS rank FROM (SELECT id1, id2, s FROM p UNION ALL SELECT id2, id1, s FROM p)) SELECT id1, id2, round(s, 6) AS similarity, rank::INTEGER AS rank FROM t WHERE rank <= 3")
+def topk_across_cities(spark, sf):
+    """Every cell against the cells of all other cities."""
+    c = _cells(spark, sf).withColumnRenamed("hex_id", "id")
+    return _rounded(pairs.topk_pairs(c, c, 3).select("id1", "id2", "similarity", "rank"))
+
+
 @_query()
 def capped_pairs(spark, sf):
     c = pairs.cosine_pairs(_cells(spark, sf), 0.1).withColumnsRenamed({"hex_id1": "id1", "hex_id2": "id2"})

@@ -11,6 +11,7 @@ from lattica import sources, streaming
 from lattica.functions import names, places
 from lattica.functions import vectors as V
 from lattica.operators import cells, edges, modes, pairs, spatial, tables
+from lattica.plans import similarity
 
 
 def rows(df, *columns):
@@ -47,6 +48,17 @@ def test_topk_and_threshold(spark):
     assert rows(pairs.topk_pairs(paris, london, 2, 0.9), "id2", "similarity") == [("l1", 1.0)]
 
 
+def test_topk_passes_over_the_own_city(spark):
+    c = spark.createDataFrame([("p1", "Paris", [1.0, 0.0]), ("p2", "Paris", [1.0, 0.1]), ("l1", "London", [0.0, 1.0])], "id string, city string, vec array<double>")
+    assert rows(pairs.topk_pairs(c, c, 1), "id1", "id2") == [("l1", "p2"), ("p1", "l1"), ("p2", "l1")]
+
+
+def test_topk_across_cities_has_every_cell(spark):
+    sf = "/root/testdata/sf0.001"
+    found = similarity.topk_across_cities(spark, sf)
+    assert rows(found.groupBy("id1").count()) == [(i, 3) for i in sorted(str(r.vec_id) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect())]
+
+
 def test_caps(spark):
     p = spark.createDataFrame([("A", "B", "a", "b", "x", "y", 0.9), ("A", "B", "a", "c", "x", "y", 0.8), ("A", "B", "d", "e", "x", "y", 0.7)], "city1 string, city2 string, id1 string, id2 string, hex_id1 string, hex_id2 string, similarity double")
     assert rows(pairs.cap_pairs(p, 5, 1, 1), "id1", "id2") == [("a", "b")]
