@@ -144,6 +144,13 @@ def cell_adjacency(spark, sf):
     return spatial.adjacency(c).select("gx", "gy", "n_neighbours")
 
 
+@_query(_Q + ", c AS (SELECT DISTINCT gx, gy FROM q), s AS (SELECT gx, gy, gx + i AS nx, gy + j AS ny FROM c, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j) WHERE i <> 0 OR j <> 0) SELECT s.gx, s.gy, count(b.gx) AS n_neighbours FROM s LEFT JOIN c b ON b.gx = s.nx AND b.gy = s.ny GROUP BY 1, 2")
+def all_cell_adjacency(spark, sf):
+    """Every occupied cell and how many of its neighbours are occupied."""
+    x, y = places.cell_xy(F.col("lat"), F.col("lon"), 8)
+    return spatial.adjacency(_obs(spark, sf).select(x.alias("gx"), y.alias("gy"))).select("gx", "gy", "n_neighbours")
+
+
 
 
 @_query("WITH w AS (SELECT l_orderkey, year(l_shipdate) AS y, " + ", ".join(f"coalesce(sum(l_quantity) FILTER (l_linenumber = {k}), 0) AS a{k}" for k in range(1, 8)) + " FROM lineitem GROUP BY 1, 2) SELECT y::INTEGER AS year, " + ", ".join(f'round(avg(a{k}), 6) AS "{k}"' for k in range(1, 8)) + ", count(DISTINCT l_orderkey) AS n_images FROM w GROUP BY 1")

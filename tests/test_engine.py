@@ -11,7 +11,7 @@ from lattica import sources, streaming
 from lattica.functions import names, places
 from lattica.functions import vectors as V
 from lattica.operators import cells, edges, modes, pairs, spatial, tables
-from lattica.plans import similarity
+from lattica.plans import observations, similarity
 
 
 def rows(df, *columns):
@@ -59,6 +59,14 @@ def test_topk_across_cities_has_every_cell(spark):
     assert rows(found.groupBy("id1").count()) == [(i, 3) for i in sorted(str(r.vec_id) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect())]
 
 
+def test_adjacency_has_every_occupied_cell(spark):
+    sf = "/root/testdata/sf0.001"
+    x, y = places.cell_xy(F.col("lat"), F.col("lon"), 8)
+    own = {tuple(r) for r in observations._obs(spark, sf).select(x, y).collect()}
+    steps = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
+    assert rows(observations.all_cell_adjacency(spark, sf)) == sorted((a, b, sum((a + i, b + j) in own for i, j in steps)) for a, b in own)
+
+
 def test_caps(spark):
     p = spark.createDataFrame([("A", "B", "a", "b", "x", "y", 0.9), ("A", "B", "a", "c", "x", "y", 0.8), ("A", "B", "d", "e", "x", "y", 0.7)], "city1 string, city2 string, id1 string, id2 string, hex_id1 string, hex_id2 string, similarity double")
     assert rows(pairs.cap_pairs(p, 5, 1, 1), "id1", "id2") == [("a", "b")]
