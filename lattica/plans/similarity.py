@@ -81,12 +81,13 @@ def capped_pairs(spark, sf):
 
 @_query()
 def mmr_pairs(spark, sf):
-    c = _cells(spark, sf)
+    c, pool = _cells(spark, sf), 200
     near = pairs.cosine_pairs(c, 0.1).withColumnsRenamed({"hex_id1": "id1", "hex_id2": "id2"})
-    top = near.withColumn("r", F.row_number().over(Window.partitionBy("city1", "city2").orderBy(F.desc("similarity"), "id1", "id2"))).where("r <= 50").drop("r")
+    # mmr_rerank's own pool, taken before vectors are joined.
+    top = near.withColumn("r", F.row_number().over(Window.partitionBy("city1", "city2").orderBy(F.desc("similarity"), "id1", "id2"))).where(F.col("r") <= pool).drop("r")
     for k in "12":
         top = top.join(c.select(F.col("hex_id").alias(f"id{k}"), F.col("vec").alias(f"vec{k}")), f"id{k}")
-    return _rounded(pairs.mmr_rerank(top, 10).drop("vec1", "vec2"))
+    return _rounded(pairs.mmr_rerank(top, 10, candidates=pool).drop("vec1", "vec2"))
 
 
 _CENTRE = "c AS (SELECT row_number() OVER (ORDER BY vec_id)::INTEGER - 1 AS mode_id, CAST(embedding AS DOUBLE[]) AS c FROM embeddings ORDER BY vec_id LIMIT 8), m AS (SELECT id, city, mode_id, list_inner_product(v, c) / sqrt(list_inner_product(c, c)) / sqrt(list_inner_product(v, v)) AS s FROM e, c), b AS (SELECT id, city, arg_max(mode_id, round(s, 9) - mode_id * 1e-12) AS mode_id, max(s) AS s FROM m GROUP BY id, city)"

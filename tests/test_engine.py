@@ -104,6 +104,16 @@ def test_mmr_prefers_a_different_pair(spark):
     assert rows(pairs.mmr_rerank(p, 2, 0.8), "id2") == [("1",), ("street",)]
 
 
+def test_mmr_pairs_chooses_from_the_whole_pool(spark):
+    sf = "/root/testdata/sf0.1"
+    c = similarity._cells(spark, sf)
+    p = pairs.cosine_pairs(c, 0.1).withColumnsRenamed({"hex_id1": "id1", "hex_id2": "id2"})
+    for k in "12":
+        p = p.join(c.select(F.col("hex_id").alias(f"id{k}"), F.col("vec").alias(f"vec{k}")), f"id{k}")
+    columns = ["city1", "city2", "id1", "id2", "mmr_rank"]
+    assert rows(similarity.mmr_pairs(spark, sf), *columns) == rows(pairs.mmr_rerank(p, 10, candidates=200), *columns)
+
+
 def test_js(spark):
     h = spark.createDataFrame([("a", "A", [0.5, 0.5, 0.0]), ("b", "B", [0.5, 0.5, 0.0]), ("c", "C", [0.0, 0.0, 1.0])], "hex_id string, city string, vec array<double>")
     found = {frozenset((a, b)): round(s, 9) for a, b, s in rows(pairs.js_pairs(h, -1.0), "hex_id1", "hex_id2", "similarity")}
