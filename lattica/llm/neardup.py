@@ -2,7 +2,9 @@
 
 Each permutation of the shingle hashes gives two signature values, its minimum and its maximum, so 64 hash evaluations
 give 128 values; four of them make a band, and documents that agree in a band are candidates. At a similarity of 0.75,
-the bound for a link, a pair misses all 32 bands with a probability of 5e-6.
+the bound for a link, a pair misses all 32 bands with a probability of 5e-6 in large sets and more in small ones, where
+minimum and maximum depend on each other: 1e-4 for 3 of 4 shingles, 8e-6 for 18 of 24. So sets of up to SMALL_SET shingles
+are also candidates if they share one of their lowest hashes, as many as two linked sets of that size can't all miss.
 
 Links are used for components only, so not every pair needs a test, but every pair that could join two components gets
 one:
@@ -29,6 +31,8 @@ from .shingles import WIDTH, Shingler, _mix, _stream
 PERMUTATIONS, ROWS = 64, 4
 BANDS = 2 * PERMUTATIONS // ROWS
 SIMILARITY_PERCENT = 75
+#: Pairs of sets of up to this many shingles are all found.
+SMALL_SET = 20
 #: Up to this many members, all pairs of a bucket are tested at once: at most half as many pairs for each member.
 SMALL_BUCKET = 16
 PIVOTS = 4
@@ -46,7 +50,8 @@ def _sets(shingler: Shingler, texts: list[str | None]):
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (a 128-bit hash of the set, null for an empty set), bands."""
+    """doc_id, n_shingles, set_key (a 128-bit hash of the set, null for an empty set), bands, with a small set's lowest
+    shingles after them."""
 
     def start() -> Callable[[dict], dict]:
         shingler = Shingler(WIDTH)
@@ -69,7 +74,8 @@ def signatures(docs: DataFrame) -> DataFrame:
                     at = first + i
                     out["n_shingles"][at] = len(own)
                     out["set_key"][at] = own.sum(dtype=np.uint64).tobytes() + _mix(own).sum(dtype=np.uint64).tobytes()
-                    out["bands"][at] = bands[row]
+                    lowest = own[: len(own) - -(-len(own) * SIMILARITY_PERCENT // 100) + 1] if len(own) <= SMALL_SET else own[:0]
+                    out["bands"][at] = np.concatenate([bands[row], lowest.view(np.int64)])
             return out
 
         return apply
@@ -167,7 +173,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = marks.where(F.col("doc_id").isNotNull())
     classes = work.save(known.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "classes")
 
-    entries = classes.select("node", F.posexplode("bands").alias("band", "value"))
+    entries = classes.select("node", F.posexplode("bands").alias("band", "value")).withColumn("band", F.least("band", F.lit(BANDS)))
     shared = entries.groupBy("band", "value").agg(F.count("*").alias("members"), *(F.min_by("node", F.xxhash64("node", F.lit(j))).alias(f"p{j}") for j in range(PIVOTS))).where("members > 1")
     members = work.save(entries.join(shared, ["band", "value"]), "members")
 

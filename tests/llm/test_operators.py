@@ -54,6 +54,13 @@ def test_shingles_match_brute_force():
     assert found == [len(_shingles(t)) for t in texts]
 
 
+def test_near_duplicates_of_a_few_words_are_all_found(spark):
+    # 3 of 4 shingles: pairs that agree in no band, of which there were 10 among the first 100,000 like them.
+    texts = [" ".join(f"{c}{i}" for c in "abcdefgh"[:n]) for i in (17208, 29245, 32613, 45025, 49711) for n in (8, 7)]
+    found = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert found == {i: i - i % 2 for i in range(10)}
+
+
 def test_near_duplicates(docs):
     found = {r.doc_id: r for r in neardup.near_duplicates(docs).collect() if r.doc_id is not None}
     want = {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6, 7: 6, 8: 8, 9: 8, 10: 10}
