@@ -123,6 +123,14 @@ def nearest_later_pair(spark, sf):
     return found.select("id_first", "id_second", F.round("distance", 3).alias("distance"))
 
 
+@_query()
+def nearest_pair_of_halves(spark, sf):
+    """Every event of the month's first half and the nearest one of the second."""
+    o = _obs(spark, sf).withColumnRenamed("event_id", "id")
+    found = spatial.nearest_pairs(o.where("dom <= 15"), o.where("dom > 15"), 1_000_000.0)
+    return found.select("id_first", "id_second", F.round("distance", 3).alias("distance"))
+
+
 @_query(f"WITH {_O} SELECT event_id AS id, 0 AS polygon_id FROM o WHERE lat + abs(lon - 20) < 29.997 AND lat > -10.003")
 def points_in_polygon(spark, sf):
     ring = spark.sql("select 0 as polygon_id, array(named_struct('x', -20D, 'y', -10.003D), named_struct('x', 60D, 'y', -10.003D), named_struct('x', 20D, 'y', 29.997D)) as ring")
@@ -380,11 +388,21 @@ def flow_shares(spark, sf):
 _BOX = "k.lon AS x0, k.lat AS y0, k.lon + 3 AS x1, k.lat + 2 AS y1"
 
 
-@_query(f"WITH {_O}, k AS (SELECT event_id AS id, lon, lat FROM o WHERE event_type = 'click'), b AS (SELECT id, {_BOX} FROM k), s AS (SELECT s_suppkey AS id, (s_suppkey * 53 % 340) - 170.0 AS x0, (s_suppkey * 29 % 160) - 80.0 AS y0 FROM supplier) SELECT b.id AS left_id, s.id AS right_id FROM b JOIN s ON b.x0 <= s.x0 + 5.5 AND s.x0 <= b.x1 AND b.y0 <= s.y0 + 4.5 AND s.y0 <= b.y1")
-def boxes_that_meet(spark, sf):
+def _boxes(spark, sf, events: DataFrame) -> tuple[DataFrame, DataFrame]:
     box = lambda x, y, w, h: regions.box_ring(x, y, x + w, y + h)
-    k = _obs(spark, sf).where("event_type = 'click'").select(F.col("event_id").alias("id"), box(F.col("lon"), F.col("lat"), 3, 2).alias("ring"))
+    k = events.select(F.col("event_id").alias("id"), box(F.col("lon"), F.col("lat"), 3, 2).alias("ring"))
     (suppliers,) = read(spark, sf, "supplier")
     key = F.col("s_suppkey")
     s = suppliers.select(key.alias("id"), box((key * 53 % 340) - F.lit(170.0), (key * 29 % 160) - F.lit(80.0), 5.5, 4.5).alias("ring"))
-    return regions.intersecting(k, s)
+    return k, s
+
+
+@_query(f"WITH {_O}, k AS (SELECT event_id AS id, lon, lat FROM o WHERE event_type = 'click'), b AS (SELECT id, {_BOX} FROM k), s AS (SELECT s_suppkey AS id, (s_suppkey * 53 % 340) - 170.0 AS x0, (s_suppkey * 29 % 160) - 80.0 AS y0 FROM supplier) SELECT b.id AS left_id, s.id AS right_id FROM b JOIN s ON b.x0 <= s.x0 + 5.5 AND s.x0 <= b.x1 AND b.y0 <= s.y0 + 4.5 AND s.y0 <= b.y1")
+def boxes_that_meet(spark, sf):
+    return regions.intersecting(*_boxes(spark, sf, _obs(spark, sf).where("event_type = 'click'")))
+
+
+@_query()
+def all_boxes_that_meet(spark, sf):
+    """The boxes of all events."""
+    return regions.intersecting(*_boxes(spark, sf, _obs(spark, sf)))

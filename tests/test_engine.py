@@ -67,6 +67,19 @@ def test_adjacency_has_every_occupied_cell(spark):
     assert rows(observations.all_cell_adjacency(spark, sf)) == sorted((a, b, sum((a + i, b + j) in own for i, j in steps)) for a, b in own)
 
 
+def test_windows_and_boxes_take_all_events(spark):
+    sf = "/root/testdata/sf0.001"
+    o = [(r.event_id, r.dom, *(float(v) for v in (r.lat, r.lon))) for r in observations._obs(spark, sf).collect()]
+    at = {i: (math.radians(lon) * 6378137.0, math.log(math.tan(math.pi / 4 + math.radians(lat) / 2)) * 6378137.0) for i, _, lat, lon in o}
+    later = [i for i, dom, *_ in o if dom > 15]
+    want = {i: round(d, 0) for i, dom, *_ in o if dom <= 15 and (d := min(math.dist(at[i], at[j]) for j in later)) <= 1_000_000}
+    assert {r.id_first: round(r.distance, 0) for r in observations.nearest_pair_of_halves(spark, sf).collect()} == want
+    keys = [r.s_suppkey for r in spark.read.parquet(f"{sf}/supplier.parquet").collect()]
+    boxes = [(k, k * 53 % 340 - 170.0, k * 29 % 160 - 80.0) for k in keys]
+    meet = {(i, k) for i, _, lat, lon in o for k, x, y in boxes if lon <= x + 5.5 and x <= lon + 3 and lat <= y + 4.5 and y <= lat + 2}
+    assert {tuple(r)[:2] for r in observations.all_boxes_that_meet(spark, sf).select("left_id", "right_id").collect()} == meet
+
+
 def test_caps(spark):
     p = spark.createDataFrame([("A", "B", "a", "b", "x", "y", 0.9), ("A", "B", "a", "c", "x", "y", 0.8), ("A", "B", "d", "e", "x", "y", 0.7)], "city1 string, city2 string, id1 string, id2 string, hex_id1 string, hex_id2 string, similarity double")
     assert rows(pairs.cap_pairs(p, 5, 1, 1), "id1", "id2") == [("a", "b")]
