@@ -50,6 +50,26 @@ class Workspace:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def remove_hidden(spark: SparkSession, folder: str) -> None:
+    """Removes the files that failed tasks left in a folder under a hidden name."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for x in store.listStatus(path) if store.exists(path) else ():
+        if x.getPath().getName().startswith("."):
+            store.delete(x.getPath(), False)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like those given that no column of df has, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def map_rows(df: DataFrame, start: Callable[[], Callable[[dict], dict]], schema: str) -> DataFrame:
     """start() gives each task a function from columns (lists) to columns. Batches are cut small, so that a batch of
     very long texts stays within memory: its share is a slice of what Arrow has already brought."""

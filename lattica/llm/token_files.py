@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import sys
 import types
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, small_batches
+from .common import Workspace, remove_hidden, small_batches
 
 # Fixed values of the zstandard format and of its seekable extension.
 SKIPPABLE_DIRECTORY = 0x184D2A50
@@ -44,16 +45,41 @@ END_ID = 0
 ENCODE_CHARS = 1 << 20
 
 
-#: Encoded pieces that a worker process keeps from task to task; they are dropped when there are more.
-CACHE_PIECES = 600_000
+#: Memory of the ids that a worker process keeps, from task to task, of parts it has met. PART_BYTES is what a part takes
+#: besides its letters and ids. Where KEPT_BYTES are full, parts that have not been asked for of late go.
+KEPT_BYTES, PART_BYTES = 320 << 20, 200
+#: Marks that are neither letters, digits, spaces nor the start of a contraction.
+_MARKS = ".,;:!?|#$%&*"
+
+
+class _Parts(dict):
+    """The ids of parts, which are found when they are first asked for. There are two generations of them: when the younger
+    one has most bytes, it becomes the older one, and what was only in that goes."""
+
+    def __init__(self, find: Callable[[str], bytes], most: int):
+        self.find, self.most, self.size, self.older = find, most, 0, {}
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.older.get(part)
+        if ids is None:
+            ids = self.find(part)
+        if self.size > self.most:
+            self.older, self.size = dict(self), 0
+            self.clear()
+        self[part] = ids
+        self.size += PART_BYTES + len(part) + len(ids)
+        return ids
 
 
 class Encoder:
     """Ids of whole texts, as little-endian unsigned 32-bit integers, from a tokenizers file.
 
-    A byte-level tokenizer that splits off words with the space before them, and does nothing else to a text, gives a text
-    without two spaces in a row the ids of its pieces, cut before every space. Words come again and again, so each
-    worker process keeps the library's ids of the pieces it has met. All other tokenizers and texts are encoded as a whole.
+    A byte-level tokenizer that does nothing else to a text splits it into pieces, of which a space is only the beginning:
+    no piece goes from a letter, digit or mark over white space, and the only look ahead, after white space, sees the same at
+    a single space or line feed. So where neither stands beside other white space (Python's, which includes all of
+    Unicode's), a text has the ids of its parts, cut before each. A part of letters and marks is the two pieces the
+    tokenizer makes of it, which the library's model encodes; other parts are encoded by the whole tokenizer. All other
+    tokenizers and texts are encoded as a whole.
     """
 
     def __init__(self, file: str):
@@ -61,33 +87,58 @@ class Encoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(file)
-        self.encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        self.encode, self.pieces = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch), tokenizer.model.tokenize
         own = json.loads(tokenizer.to_str())
         split = own.get("pre_tokenizer") or {}
         added = [x["content"] for x in own.get("added_tokens") or []]
-        self.by_piece = not own.get("normalizer") and own["model"]["type"] == "BPE" and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not any(" " in x for x in added)
+        self.by_piece = not own.get("normalizer") and own["model"]["type"] == "BPE" and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not any(" " in x or "\n" in x or x.rstrip(_MARKS).isalpha() or not x.rstrip(_MARKS) for x in added)
         self.by_piece &= not any(x.get(k) for x in own.get("added_tokens") or [] for k in ("lstrip", "rstrip", "single_word"))
-        self.first: dict[str, bytes] = {"": b""}
-        self.rest: dict[str, bytes] = {}
+        # The byte-level alphabet: bytes that print stand for themselves, the others for letters from U+0100.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.packed = [struct.pack("<I", i) for i in range(max(tokenizer.get_vocab().values()) + 1)]
+        self.marks = _Parts(self._piece, KEPT_BYTES // 16)
+        self.first = _Parts(lambda part: self._part("", part), KEPT_BYTES // 16)
+        self.rest = _Parts(self._later, KEPT_BYTES * 3 // 8)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.encode(texts, add_special_tokens=False)]
 
+    def _piece(self, piece: str) -> bytes:
+        packed = self.packed
+        return b"".join([packed[x.id] for x in self.pieces(piece.encode().decode("latin-1").translate(self.alphabet))])
+
+    def _part(self, front: str, part: str) -> bytes | None:
+        stem = part.rstrip(_MARKS)
+        # These are letters in every version of Unicode.
+        if stem.isalpha() and (stem.isascii() or max(stem) < "\u0250"):
+            if len(stem) == len(part):
+                return self._piece(front + stem)
+            return (self.rest[stem] if front == " " else self._piece(front + stem)) + self.marks[part[len(stem) :]]
+        if part and (part[0].isspace() or part[-1].isspace()):
+            return None
+        return self.whole([front + part])[0]
+
+    def _later(self, part: str) -> bytes | None:
+        """The ids of a part with the space or line feed before it; none where that stands beside white space."""
+        if part[:1] != "\n":
+            return self._part(" ", part) if part else None
+        ids = self._part("", part[1:]) if len(part) > 1 else None
+        return None if ids is None else self.marks["\n"] + ids
+
+    def one(self, text: str) -> bytes:
+        # The lines of a text are parts too, unless some are empty or begin or end with white space.
+        for parted in (text.replace("\n", " \n"), text) if "\n" in text else (text,):
+            start, *more = parted.split(" ")
+            try:
+                return b"".join([self.first[start], *map(self.rest.__getitem__, more)])
+            except TypeError:  # a part without ids of its own
+                pass
+        return self.whole([text])[0]
+
     def batch(self, texts: list[str]) -> list[bytes]:
-        if not self.by_piece:
-            return self.whole(texts)
-        for known in (self.first, self.rest):
-            if len(known) > CACHE_PIECES:
-                known.clear()
-        self.first[""] = b""
-        pieces = [None if "  " in t else t.split(" ") for t in texts]
-        new = list({p[0] for p in pieces if p} - self.first.keys())
-        self.first.update(zip(new, self.whole(new), strict=True))
-        new = list(set().union(*(p[1:] for p in pieces if p)) - self.rest.keys())
-        self.rest.update(zip(new, self.whole([f" {x}" for x in new]), strict=True))
-        others = iter(self.whole([t for t, p in zip(texts, pieces, strict=True) if p is None]))
-        find = self.rest.__getitem__
-        return [self.first[p[0]] + b"".join(map(find, p[1:])) if p else next(others) for p in pieces]
+        return [self.one(t) for t in texts] if self.by_piece else self.whole(texts)
 
 
 class TokenFileWriter:
@@ -185,8 +236,10 @@ class TokenFileReader:
 
     def document(self, doc_id: int) -> list[np.ndarray]:
         """The ids of every document of that id."""
-        low, high = np.searchsorted(self.doc_ids, [doc_id, doc_id + 1])
-        return [np.concatenate([*self.parts(r), np.empty(0, np.uint32)]) for r in range(low, high) if r not in self.nulls]
+        known = np.array([r for r in range(len(self.doc_ids)) if r not in self.nulls], np.int64) if self.nulls else None
+        ids = self.doc_ids if known is None else self.doc_ids[known]  # in ascending order, as they are written
+        low, high = np.searchsorted(ids, [doc_id, doc_id + 1])
+        return [np.concatenate([*self.parts(r), np.empty(0, np.uint32)]) for r in (range(low, high) if known is None else known[low:high].tolist())]
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
@@ -202,10 +255,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Spark reuses worker processes, and modules outlast the tasks in them.
-        state = sys.modules.setdefault("lattica_worker_state", types.ModuleType("lattica_worker_state"))
-        if target not in vars(state):
-            setattr(state, target, Encoder(target))
-        encoder, end = getattr(state, target), struct.pack("<I", END_ID)
+        kept = vars(sys.modules.setdefault("lattica_encoders", types.ModuleType("lattica_encoders")))
+        if target not in kept:
+            kept[target] = Encoder(target)
+        encoder, end = kept[target], struct.pack("<I", END_ID)
         number = TaskContext.get().partitionId()
         store, base = pa.fs.FileSystem.from_uri(source)
         store.create_dir(base, recursive=True)
@@ -237,6 +290,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame
 
     ordered = docs.select("doc_id", "text").withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     made = ordered.mapInArrow(run, "file long, name string, n_docs long, n_tokens long").collect()  # a row for each file
+    remove_hidden(spark, folder)
     rows, total = [], 0
     for r in sorted(made):
         rows.append((r.file, f"{folder}/{r.name}", r.n_docs, r.n_tokens, total))

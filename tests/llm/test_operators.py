@@ -121,6 +121,27 @@ def test_pieces_encode_as_whole_texts():
     assert e.batch(texts) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
 
 
+def test_pieces_encode_as_whole_texts_beside_any_white_space():
+    from tokenizers import Tokenizer
+
+    t, e = Tokenizer.from_file(TOKENIZER), token_files.Encoder(TOKENIZER)
+    draw = np.random.default_rng(7)
+    words = ["a", "Word", "the", "é", "ß", "漢字", "'s", "'re", "'", "it's", ".", ",", "!?", "5", "²", "½", "|", "###", "<|endoftext|>", "_", "-", "x1", "\u0301", "ǅ", "ʰ", "ª", "·", "×", "🙂", "\u200b", "\ufeff", "\0"]
+    gaps = [" "] * 12 + ["  ", "\u00a0", "\u3000", "\t", "\n", "\r\n", "\x1c", "\x1f", "\x85", "\u2009", "\u180e", "\u2028", "\n\n", " \u00a0", "\u00a0 ", "\x0b", ""]
+    texts = ["".join(draw.choice(words) + draw.choice(gaps) for _ in range(draw.integers(0, 30))) for _ in range(3000)] + [" \u00a0 \u00a0", "word \u00a0 \u00a0 word", "a\n" * 5000 + "b", " a b"]
+    assert e.batch(texts) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+
+
+def test_documents_are_found_behind_nulls():
+    out = io.BytesIO()
+    writer = token_files.TokenFileWriter(out)
+    for i, d in enumerate([None, None, -9, -8, -8, -1, 2]):
+        writer.add(d, np.array([i], "<u4"))
+    writer.finish()
+    reader = token_files.TokenFileReader(io.BytesIO(out.getvalue()))
+    assert [[x.tolist() for x in reader.document(d)] for d in (-9, -8, 2, 0)] == [[[2]], [[3], [4]], [[6]], []]
+
+
 def test_frames_are_independent_and_checked(monkeypatch):
     monkeypatch.setattr(token_files, "FRAME_IDS", 4)
     out = io.BytesIO()
