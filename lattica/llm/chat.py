@@ -22,7 +22,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
 
 #: Marks each turn; texts and roles are escaped, so no text can end a turn or open one.
 TEMPLATE = (
@@ -364,7 +363,6 @@ def format_conversations(rows: DataFrame, template: str = TEMPLATE) -> DataFrame
     Turns are in order of turn, then role, then text; null roles and texts are empty; rows without a conv_id are one
     conversation. Conversations are streamed, so one of any length needs the memory of a turn only.
     """
-    small_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         render = compile_template(template)

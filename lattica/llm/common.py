@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,10 +21,13 @@ def lower_ascii(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset, a temporary one in local
+    mode, in which both are one process; an error on a cluster, whose executors would each write to a folder of their own."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lattica-")
         context.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -71,8 +75,8 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def map_rows(df: DataFrame, start: Callable[[], Callable[[dict], dict]], schema: str) -> DataFrame:
-    """start() gives each task a function from columns (lists) to columns. Batches are cut small, so that a batch of
-    very long texts stays within memory: its share is a slice of what Arrow has already brought."""
+    """start() gives each task a function from columns (lists) to columns. Spark bounds a batch by its bytes (64 MB, unless
+    a row alone has more); slices of it bound what becomes Python objects at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = start()
@@ -81,17 +85,9 @@ def map_rows(df: DataFrame, start: Callable[[], Callable[[dict], dict]], schema:
                 yield pa.RecordBatch.from_pydict(apply(batch.slice(at, 256).to_pydict()), schema=types)
 
     types = _arrow_schema(df.sparkSession, schema)
-    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches are counted in rows; with whole texts in them, fewer rows bound a worker's memory."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, str(rows))
-
-
 def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
