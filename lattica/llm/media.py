@@ -1,8 +1,10 @@
 """MPEG audio columns: a parser of frame headers, tags and variable-bitrate tables, and a writer of lossless payloads.
 
-The parser reads MPEG 1, 2 and 2.5, layers I to III. It skips ID3v2 and APE tags in front and ID3v1 behind, searches for
-the next header that another one follows when the bytes in between are no frame, checks the CRC of protected layer III
-frames, and reads Xing, Info and VBRI tables. Durations are exact: samples and their rate.
+The parser reads MPEG 1, 2 and 2.5, layers I to III. It reads ID3v2 tags in front (2.2 to 2.4, with extended headers and
+unsynchronisation), APE tags in front and behind and ID3v1 behind, searches for the next header that another one follows when
+the bytes in between are no frame, checks the CRC of protected frames (of layer I and II over header, bit allocation and
+scale factor selection, of layer III over header and side information), and reads Xing, Info and VBRI tables. Durations are
+exact: samples and their rate.
 
 The writer puts bytes where an encoder leaves room, in the ancillary data of silent, protected MPEG 1 layer III frames of
 80 kbit/s at 48 kHz in mono: 240 bytes a frame, of which 4 are header, 2 CRC, 17 side information, 192 payload and 25 unused.
@@ -34,6 +36,14 @@ BITRATES = {
 }
 SAMPLE_RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
 CRC_POLYNOMIAL = 0x8005
+# Fixed values of layer II: (bits of an allocation, subbands) in a row, by the table that rate and bitrate choose.
+ALLOCATIONS = {
+    "a": ((4, 11), (3, 12), (2, 4)),
+    "b": ((4, 11), (3, 12), (2, 7)),
+    "c": ((4, 2), (3, 6)),
+    "d": ((4, 2), (3, 10)),
+    "low": ((4, 4), (3, 7), (2, 19)),
+}
 
 UNIT = 192
 FRAME, FRONT = 240, 23
@@ -50,6 +60,44 @@ def crc16(data: bytes, crc: int = 0xFFFF) -> int:
     return crc
 
 
+def _protected(frame: bytes, version: int, layer: int, kbits: int, hertz: int, channels: int) -> tuple[bytes, int]:
+    """The bytes that a frame's CRC covers, and how many of their bits. The frame begins with its header and the CRC."""
+    head, body = frame[2:4], frame[6:]
+    if layer == 3:
+        return head + body[: ((32, 17) if version == 3 else (17, 9))[channels == 1]], 0
+    # Joint stereo shares the allocations from a bound on.
+    bound = (frame[3] >> 4 & 3) * 4 + 4 if frame[3] >> 6 == 1 else 32
+    if layer == 1:
+        bits = 4 * (bound * channels + 32 - bound if channels == 2 else 32)
+    else:
+        own = kbits // channels
+        if version != 3:
+            table = "low"
+        elif own <= 48:
+            table = "d" if hertz == 32000 else "c"
+        else:
+            table = "a" if hertz == 48000 or own <= 80 else "b"
+        widths = [w for w, n in ALLOCATIONS[table] for _ in range(n)]
+        value, total, bits, used = int.from_bytes(body[:48]), 8 * len(body[:48]), 0, 0
+        for band, width in enumerate(widths):
+            shared = channels == 2 and band >= bound
+            for _ in range(1 if shared else channels):
+                bits += width
+                if bits <= total and value >> total - bits & (1 << width) - 1:
+                    used += channels if shared else 1
+        bits += 2 * used
+    return head + body[: -(-bits // 8)], 16 + bits
+
+
+def _crc(part: bytes, bits: int) -> int:
+    """The CRC of the first bits of some bytes, of all if bits is 0."""
+    whole = bits // 8 if bits else len(part)
+    crc = crc16(part[:whole])
+    for bit in range(bits % 8 if bits else 0):
+        crc = (crc << 1) ^ (CRC_POLYNOMIAL if (crc >> 15 ^ part[whole] >> 7 - bit) & 1 else 0)
+    return crc & 0xFFFF
+
+
 def parse_header(four: bytes) -> tuple[int, int, int, int, int, int, bool] | None:
     """(version code, layer, bitrate, sample rate, channels, frame bytes, protected), or None. Free-format frames, which do
     not tell their size, are none."""
@@ -79,25 +127,39 @@ def _tags(data: bytes) -> tuple[int, int, dict]:
     """Where the audio begins and ends, and what the tags around it say."""
     start, end, tags = 0, len(data), {}
     while data[start : start + 3] == b"ID3" and len(data) >= start + 10:
-        size = _syncsafe(data[start + 6 : start + 10])
-        at, stop = start + 10, min(len(data), start + 10 + size)
-        major = data[start + 3]
-        while at + 10 <= stop and data[at] and major >= 3:
-            name = data[at : at + 4].decode("latin-1")
-            own = _syncsafe(data[at + 4 : at + 8]) if major >= 4 else int.from_bytes(data[at + 4 : at + 8])
-            body = data[at + 10 : at + 10 + own]
+        size, major, flags = _syncsafe(data[start + 6 : start + 10]), data[start + 3], data[start + 5]
+        body = data[start + 10 : start + 10 + size]
+        if flags & 0x80 and major < 4:
+            body = body.replace(b"\xff\0", b"\xff")
+        at = 0
+        if flags & 0x40 and major >= 3 and len(body) >= 4:
+            # The size counts itself from 2.4 on.
+            at = _syncsafe(body[:4]) if major >= 4 else 4 + int.from_bytes(body[:4])
+        name_bytes, front = (3, 6) if major == 2 else (4, 10)
+        while at + front <= len(body) and body[at]:
+            name = body[at : at + name_bytes].decode("latin-1")
+            width = body[at + name_bytes : at + 2 * name_bytes]
+            own = _syncsafe(width) if major >= 4 else int.from_bytes(width)
+            value = body[at + front : at + front + own]
+            if major >= 4 and body[at + 9] & 2:
+                value = value.replace(b"\xff\0", b"\xff")
             if name == "PRIV":
-                owner, _, body = body.partition(b"\0")
+                owner, _, value = value.partition(b"\0")
                 name = f"PRIV:{owner.decode('latin-1')}"
-            tags[name] = body
-            at += 10 + own
-        start += 10 + size + (10 if data[start + 5] & 0x10 else 0)
+            tags[name] = value
+            at += front + own
+        start += 10 + size + (10 if flags & 0x10 else 0)
     if data[start : start + 8] == b"APETAGEX" and len(data) >= start + 32:
-        tags["APE"] = b""
+        tags["APE"] = data[start + 32 : start + 32 + int.from_bytes(data[start + 12 : start + 16], "little")]
         start += 32 + int.from_bytes(data[start + 12 : start + 16], "little")
     if end - start >= 128 and data[end - 128 : end - 125] == b"TAG":
         tags["ID3v1"] = data[end - 125 : end]
         end -= 128
+    if end - start >= 32 and data[end - 32 : end - 24] == b"APETAGEX":
+        # The size counts the items and this footer; a header in front of them has as many bytes as the footer.
+        size = int.from_bytes(data[end - 20 : end - 16], "little")
+        tags["APE"] = data[max(start, end - size) : end - 32]
+        end = max(start, end - size - (32 if data[end - 9] & 0x80 else 0))
     return min(start, end), end, tags
 
 
@@ -122,7 +184,7 @@ def _table(frame: bytes, version: int, channels: int, protected: bool) -> dict |
     return None
 
 
-def parse(data: bytes, checked: dict[bytes, int] | None = None) -> dict:
+def parse(data: bytes, checked: dict[tuple[bytes, int], int] | None = None) -> dict:
     """What a stream holds: tags, table, frames as offsets and sizes (without the table's), samples, hertz, duration in
     seconds as a Fraction, bitrates seen, CRCs good, bad and absent, and bytes skipped to find a frame again.
 
@@ -158,14 +220,13 @@ def parse(data: bytes, checked: dict[bytes, int] | None = None) -> dict:
             continue
         version, layer, kbits, own_hertz, channels, size, protected = head
         frame_at, at, synced = at, at + size, True
-        if protected and layer == 3:
-            stop = frame_at + 6 + ((32, 17) if version == 3 else (17, 9))[channels == 1]
-            part = data[frame_at + 2 : frame_at + 4] + data[frame_at + 6 : stop]
-            if part not in checked:
+        if protected:
+            covered = _protected(data[frame_at:at], version, layer, kbits, own_hertz, channels)
+            if covered not in checked:
                 if len(checked) > 4096:
                     checked.clear()
-                checked[part] = crc16(part)
-            if checked[part] == data[frame_at + 4] << 8 | data[frame_at + 5]:
+                checked[covered] = _crc(*covered)
+            if checked[covered] == data[frame_at + 4] << 8 | data[frame_at + 5]:
                 good += 1
             else:
                 bad += 1
@@ -223,7 +284,8 @@ def read_payload(data: bytes, found: dict) -> bytes:
 def encode_media(docs: DataFrame) -> DataFrame:
     """doc_id and media, the stream that holds the whole text as UTF-8, for each row of docs (doc_id, text, more).
 
-    A null text is an empty one, one unit of spaces. Equal texts give equal streams.
+    A null text is an empty one, one unit of spaces. Equal texts give equal streams, and repeated rows a row each. An empty
+    table gives no rows. A batch's streams are in memory at once.
     """
 
     def start() -> Callable[[dict], dict]:
@@ -236,13 +298,23 @@ def encode_media(docs: DataFrame) -> DataFrame:
     return map_rows(docs.select("doc_id", "text"), start, "doc_id long, media binary")
 
 
+def store_media(docs: DataFrame, folder: str) -> DataFrame:
+    """Writes encode_media's streams as zstandard-packed Parquet in folder, a URI that all executors reach, and returns the
+    table read back: doc_id, media."""
+    made = encode_media(docs)
+    made.write.mode("overwrite").option("compression", "zstd").parquet(folder)
+    return docs.sparkSession.read.schema(made.schema).parquet(folder)
+
+
 def media_features(media: DataFrame) -> DataFrame:
     """What the streams of media (doc_id, media) hold, from their bytes alone: n_bytes, payload_bytes, payload_sha256,
-    tail_crc32, media_bytes, media_sha256, n_frames, duration_ms, frame_offsets (each frame's place) and feature (version,
-    rate, frames, exact duration, bitrates, CRCs, table and a hash of the offsets). A null stream is an empty one."""
+    tail_crc32, media_bytes, media_sha256, n_frames, duration_samples and duration_hertz (the exact duration is their
+    quotient; 0 and 1 without frames), duration_ms (cut), frame_offsets (each frame's place) and feature (rate, frames,
+    exact duration, bitrates, CRCs, table and a hash of the offsets). A null stream is an empty one; an empty table gives
+    no rows."""
 
     def start() -> Callable[[dict], dict]:
-        checked: dict[bytes, int] = {}
+        checked: dict[tuple[bytes, int], int] = {}
 
         def one(data: bytes) -> tuple:
             found = parse(data, checked)
@@ -253,13 +325,13 @@ def media_features(media: DataFrame) -> DataFrame:
             rates = ",".join(f"{k}x{n}" for k, n in sorted(found["bitrates"].items()))
             table = found["table"] or {}
             feature = f"hz={found['hertz']};frames={len(offsets)};seconds={seconds.numerator}/{seconds.denominator};kbps={rates};crc={found['crc_good']}/{found['crc_bad']}/{found['crc_absent']};skipped={found['skipped']};table={table.get('kind', '-')}:{table.get('frames', '-')};seek={zlib.crc32(offsets.astype('<i8').tobytes()):08x}"
-            return struct.unpack(">Q", own)[0], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), len(offsets), int(seconds * 1000), offsets, feature
+            return struct.unpack(">Q", own)[0], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), len(offsets), seconds.numerator, seconds.denominator, int(seconds * 1000), offsets, feature
 
         def apply(batch: dict) -> dict:
-            rows = list(zip(*(one(m or b"") for m in batch["media"]), strict=True)) or [[]] * 10
-            return dict(zip(("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_frames", "duration_ms", "frame_offsets", "feature"), (batch["doc_id"], *rows), strict=True))
+            rows = list(zip(*(one(m or b"") for m in batch["media"]), strict=True)) or [[]] * 12
+            return dict(zip(("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_frames", "duration_samples", "duration_hertz", "duration_ms", "frame_offsets", "feature"), (batch["doc_id"], *rows), strict=True))
 
         return apply
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames long, duration_ms long, frame_offsets array<long>, feature string"
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames long, duration_samples long, duration_hertz long, duration_ms long, frame_offsets array<long>, feature string"
     return map_rows(media.select("doc_id", "media"), start, schema)

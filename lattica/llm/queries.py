@@ -6,10 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import format_conversations, read_conversations
-from .common import read
+from .common import Workspace, read
 from .decontaminate import contamination
 from .line_dedup import line_dedup
-from .media import encode_media, media_features
+from .media import media_features, store_media
 from .mixing import mix
 from .neardup import near_duplicates
 from .oracles import ORACLES
@@ -49,8 +49,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = media_features(encode_media(read(spark, sf_dir, "documents")))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_frames", "duration_ms", "feature")
+    return media_features(store_media(read(spark, sf_dir, "documents"), Workspace(spark, "media").path("streams")))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
