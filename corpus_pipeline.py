@@ -54,6 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of each document that the stages leave, in the token files' order.
+
+    Null texts are empty; stages say what they do with rows without a doc_id, repeated ones and columns of any name. An
+    empty table of documents, labels or benchmark items gives what is left without them.
+    """
     work = Workspace(spark, "pipeline")
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
