@@ -1,8 +1,9 @@
 """URL filters: fixed host and path rules first, and rules mined from labelled pages for the rest.
 
 FP-growth mines combinations of all tokens of labelled URLs that go with bad pages, each item's conditional patterns in a
-task. A mined rule is kept if its support and its confidence reach the bounds and no rule with fewer of the same tokens is
-as sure; so a token that a combination implies (as a host does its end) isn't added to it, which Spark's own FP-growth
+task. A mined rule is kept if its support and its confidence reach the bounds, if its pages are bad so often that chance
+doesn't explain it (the lower Wilson bound of its confidence lies above the share of bad pages among all), and if no rule
+with fewer of the same tokens is as sure; so a token that a combination implies (as a host does its end) isn't added to it, which Spark's own FP-growth
 can't leave out: its combinations double with each token. The kept rules are few, since every supported combination has
 the support of many pages, and match by an inverted index: each is filed under its rarest token, and only the rules filed
 under a URL's own tokens are compared with it.
@@ -22,7 +23,11 @@ from .common import lower_ascii, map_rows
 #: (verdict, rule): a rule is a host, /, and how the path must begin.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 SUPPORT, CONFIDENCE = 0.002, 0.6
+#: Standard deviations of the Wilson bound: of a hundred thousand combinations that mean nothing, three pass.
+CERTAINTY = 4.0
 MAX_RULES = 100_000
+#: Of so many parts of the labelled pages, one is held out to try rules mined from the others.
+PARTS = 5
 
 
 def host(url: Column) -> Column:
@@ -91,7 +96,13 @@ def _conditional(baskets: DataFrame, names: list[str]) -> DataFrame:
     return every.groupBy("item", "before").agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad"))
 
 
-def _grown(conditional: DataFrame, least: int, confidence: float) -> DataFrame:
+def surely(n: int, n_bad: int, certainty: float) -> float:
+    """The lower Wilson bound of a share of n_bad of n."""
+    share, z = n_bad / n, certainty * certainty / n
+    return (share + z / 2 - certainty * math.sqrt(max(share * (1 - share) / n + z / (4 * n), 0.0))) / (1 + z)
+
+
+def _grown(conditional: DataFrame, least: int, confidence: float, rate: float, certainty: float) -> DataFrame:
     """items_ and confidence of the rules that end in each item. An item that all rows of a set have adds nothing to the
     set, and a rule no surer than one it grew from isn't kept: neither is grown further where no kept rule can follow."""
 
@@ -107,7 +118,7 @@ def _grown(conditional: DataFrame, least: int, confidence: float) -> DataFrame:
                 yield from rule((*items, i), k, k_bad, {before: v for before, v in base.items() if i in before}, surest)
 
     def rule(items: tuple, n: int, n_bad: int, rows: dict, surest: float):
-        if n_bad / n >= confidence and n_bad / n > surest:
+        if n_bad / n >= confidence and n_bad / n > surest and surely(n, n_bad, certainty) > rate:
             surest = n_bad / n
             yield [*items], surest
         if surest < 1:
@@ -128,20 +139,26 @@ def _grown(conditional: DataFrame, least: int, confidence: float) -> DataFrame:
     return conditional.groupBy("item").applyInPandas(run, "items_ array<int>, confidence double")
 
 
-def mine(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> list[tuple[list[str], float]]:
-    """(tokens, confidence) of the rules that call a page bad. A page is bad if the label of its id says it's of low
-    quality or toxic; pages without a label, or with nothing known in it, take no part."""
+def labelled_pages(labels: DataFrame) -> DataFrame:
+    """page_id and bad (0 or 1). A page is bad if the label of its id says it's of low quality or toxic; labels that say
+    nothing are left out."""
     bad = (F.coalesce(F.col("quality") == 0, F.lit(False))) | (F.coalesce(F.col("toxic") == 1, F.lit(False)))
-    known = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy(F.col("doc_id").alias("page_id")).agg(F.max(bad.cast("int")).alias("bad"))
+    return labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy(F.col("doc_id").alias("page_id")).agg(F.max(bad.cast("int")).alias("bad"))
+
+
+def mine(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, certainty: float = CERTAINTY) -> list[tuple[list[str], float]]:
+    """(tokens, confidence) of the rules that call a page bad; pages without a label take no part. None are found where
+    labels don't go with URLs."""
+    known = labelled_pages(labels)
     baskets = split_urls(pages).join(known, "page_id").groupBy(tokens().alias("items")).agg(F.count("*").alias("n"), F.sum("bad").alias("n_bad"))
-    n = baskets.agg(F.sum("n")).first()[0]
-    if not n:
+    n, n_bad = baskets.agg(F.sum("n"), F.sum("n_bad")).first()
+    if not n_bad:
         return []
     least = max(1, math.ceil(support * n))
     # Tokens that reach the support, at most 1 / support times those of a URL.
     often = baskets.select(F.explode("items").alias("token"), "n", "n_bad").groupBy("token").agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad")).where(F.col("n_bad") >= least)
     names = [r.token for r in often.orderBy(F.desc("n"), "token").collect()]
-    rules = _grown(_conditional(baskets, names), least, confidence)
+    rules = _grown(_conditional(baskets, names), least, confidence, n_bad / n, certainty)
     found = [(sorted(names[i] for i in r.items_), r.confidence) for r in rules.orderBy(F.desc("confidence"), F.size("items_"), "items_").limit(MAX_RULES + 1).collect()]
     if len(found) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} rules: raise support or confidence")
@@ -156,15 +173,25 @@ def mine(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confiden
     return kept
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+def tried(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, certainty: float = CERTAINTY) -> DataFrame:
+    """One row: of labelled pages that are held out (crc32 of the page_id modulo PARTS is 0), n_pages, n_bad, and of those
+    that rules mined from the other pages block, n_blocked and n_blocked_bad."""
+    out = F.crc32(F.col("page_id").cast("string")) % PARTS == 0
+    judged = judge(pages.where(out), labels.where(F.crc32(F.col("doc_id").cast("string")) % PARTS != 0), (), support, confidence, certainty, pages)
+    found = judged.join(labelled_pages(labels), "page_id")
+    blocked = F.col("verdict") == "block"
+    return found.agg(F.count("*").alias("n_pages"), F.coalesce(F.sum("bad"), F.lit(0)).alias("n_bad"), F.count_if(blocked).alias("n_blocked"), F.count_if(blocked & (F.col("bad") == 1)).alias("n_blocked_bad"))
+
+
+def judge(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, support: float = SUPPORT, confidence: float = CONFIDENCE, certainty: float = CERTAINTY, training: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, mined (the surest mined rule's tokens, else null) and confidence for each row of
-    pages (page_id, url, more).
+    pages (page_id, url, more). Rules are mined from the same pages, or from those of training.
 
     A fixed rule that fits decides; else a mined rule that matches blocks, and all others are allowed. A null url or one
     without :// has an empty host and path, which no fixed rule fits. Without labels only fixed rules block. Repeated rows
     are judged each; an empty table gives no rows.
     """
-    mined = mine(pages, labels, support, confidence)
+    mined = mine(pages if training is None else training, labels, support, confidence, certainty)
 
     def start() -> Callable[[dict], dict]:
         often: dict[str, int] = {}
