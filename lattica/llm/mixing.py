@@ -7,7 +7,7 @@ spent; a source whose target is beyond its size is queued again, as often as REP
 
 Running totals are never taken over a source or over the whole table at once: rows are dealt to slices of the shuffled order
 (of virtual time), slices are summed, and only the rows within a slice are ordered. A hot source has as many slices as its
-rows need.
+rows need, and a source's target comes to its rows with the totals of its slices.
 """
 
 from __future__ import annotations
@@ -17,14 +17,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, fresh
 
 #: No document is taken more often, and no source's target is more times its size.
 REPEATS = 3
 #: The weights of the sources by code point, null last, repeating.
 WEIGHTS = (1, 2, 3)
-#: Up to this many sources, their targets are sent to all tasks.
-BROADCAST_SOURCES = 10_000
+#: Copies of a row that one task makes.
+COPIES = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -52,15 +52,22 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> Data
     return ranked.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
-def _running(df: DataFrame, keys: list[str], bucket: str, order: list[Column], value: str, out: str) -> DataFrame:
-    """Adds the running total of value by keys in the order of bucket and then of order."""
+def _running(df: DataFrame, keys: list[str], bucket: str, order: list[Column], value: str, out: str, facts: DataFrame | None = None) -> DataFrame:
+    """Adds the running total of value by keys in the order of bucket and then of order; and the columns of facts, a table
+    with one row for each of the keys."""
     sums = df.groupBy(*keys, bucket).agg(F.sum(value).alias("__sum"))
     sums = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__sum")
     renamed = sums.select(*(F.col(k).alias(f"__{k}") for k in [*keys, bucket]), "__before")
-    condition = F.lit(True)
-    for k in [*keys, bucket]:
-        condition = condition & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    joined = df.join(renamed, condition).drop(*(f"__{k}" for k in [*keys, bucket]))
+
+    def alike(names: list[str], a: str, b: str) -> Column:
+        condition = F.lit(True)
+        for k in names:
+            condition = condition & F.col(f"{a}{k}").eqNullSafe(F.col(f"{b}{k}"))
+        return condition
+
+    if facts is not None:
+        renamed = renamed.join(facts.withColumnsRenamed({k: f"__f_{k}" for k in keys}), alike(keys, "__", "__f_")).drop(*(f"__f_{k}" for k in keys))
+    joined = df.join(renamed, alike([*keys, bucket], "", "__")).drop(*(f"__{k}" for k in [*keys, bucket]))
     within = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return joined.withColumn(out, F.col("__before") + F.sum(value).over(within)).drop("__before")
 
@@ -80,32 +87,52 @@ def mix(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS) -> D
     slices = max(1, math.isqrt(rows))  # as many slices as rows in a slice: neither is large
     # The first eight hex digits of the key are a number below 2^32, spread evenly.
     cut = F.floor(F.conv(F.substring("shuffle", 1, 8), 16, 10).cast("long") * slices / F.lit(1 << 32))
-    side = targets.withColumnRenamed("source", "__source")
-    side = F.broadcast(side) if side.count() <= BROADCAST_SOURCES else side
-    named = sized.withColumn("slice", cut).join(side, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    queued = _running(named, ["source"], "slice", [F.col("shuffle"), F.col("tie")], "size", "sent")
+    queued = work.save(_running(sized.withColumn("slice", cut), ["source"], "slice", [F.col("shuffle"), F.col("tie")], "size", "sent", targets), "queued")
     rounds = queued.where("target > 0").select("*", F.explode(F.array(*map(F.lit, range(REPEATS)))).alias("round")).where("round * source_size < target")
     finish = (F.col("round") * F.col("source_size") + F.col("sent")) / F.col("target")
     timed = rounds.withColumn("finish", finish).withColumn("time", F.floor(finish * slices))
     order = [F.col("finish"), F.col("source").asc_nulls_last(), F.col("shuffle"), F.col("tie")]
     taken = _running(timed, [], "time", order, "size", "spent").where(F.col("spent") <= budget).groupBy("doc_id", "source", "tie").agg(F.count("*").alias("times"))
-    copies = sized.groupBy("doc_id", "source", "tie", "size").agg(F.count("*").alias("copies"))
+    same = ["doc_id", "source", "tie", "size", "source_size", "target"]
+    copies = queued.groupBy(*same).agg(F.count("*").alias("copies"))
     # Rows alike in id, source and text share what they take, the first ones one round more.
-    counted = copies.withColumnRenamed("doc_id", "__d").withColumnRenamed("source", "__s").withColumnRenamed("tie", "__t")
+    counted = copies.withColumnsRenamed({"doc_id": "__d", "source": "__s", "tie": "__t"})
     on = F.col("__d").eqNullSafe(F.col("doc_id")) & F.col("__s").eqNullSafe(F.col("source")) & F.col("__t").eqNullSafe(F.col("tie"))
-    counted = counted.join(taken, on, "left").select(F.col("__d").alias("doc_id"), F.col("__s").alias("source"), F.col("__t").alias("tie"), "size", "copies", F.coalesce("times", F.lit(0)).alias("times"))
-    each = counted.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("nth"))
+    counted = counted.join(taken, on, "left").select(F.col("__d").alias("doc_id"), F.col("__s").alias("source"), F.col("__t").alias("tie"), "size", "source_size", "target", "copies", F.coalesce("times", F.lit(0)).alias("times"))
+    # Many copies of a row are made in two steps, so no task makes them all.
+    some = F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(COPIES).cast("long"))
+    first = counted.select("*", F.explode(some).alias("low")).repartition("doc_id", "low")
+    each = first.select("*", F.explode(F.sequence("low", F.least(F.col("low") + COPIES, F.col("copies")) - 1)).alias("nth"))
     share = F.floor(F.col("times") / F.col("copies")) + F.when(F.col("nth") < F.col("times") % F.col("copies"), 1).otherwise(0)
-    each = each.withColumn("times", share.cast("long")).join(side, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    out = each.select("doc_id", "size", "source", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"), "times", "tie", "nth")
-    return work.save(out, "result")
+    out = each.withColumn("times", share.cast("long"))
+    saved = work.save(out.select("doc_id", "size", "source", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"), "times", "tie", "nth", "copies"), "result")
+    work.drop("sized", "targets", "queued")
+    return saved
 
 
 def apply_mix(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """docs as the mix takes them: each row as often as it is taken, with all its columns."""
-    found = mix(docs, seed, weights).where("times > 0").select(*(F.col(c).alias(f"__{c}") for c in ("doc_id", "source", "tie", "nth", "times")))
-    rows = docs.withColumn("__own_tie", F.xxhash64("text"))
-    rows = rows.withColumn("__own_nth", F.row_number().over(Window.partitionBy("doc_id", "source", "__own_tie").orderBy("__own_tie")) - 1)
-    on = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source")) & F.col("__own_tie").eqNullSafe(F.col("__tie")) & (F.col("__own_nth") == F.col("__nth"))
-    taken = rows.join(found, on).withColumn("__round", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"))))
-    return taken.select(docs.columns)
+    """docs as the mix takes them: each row as often as it is taken, with all its columns. Rows alike in id, source and text
+    are told apart by a number, which is counted slice by slice."""
+    found = mix(docs, seed, weights).where("times > 0")
+    key, times, number, nth, cut, *theirs = fresh(docs, "key", "times", "number", "nth", "cut", "their_id", "their_source", "their_key", "their_nth")
+    same = ["doc_id", "source", key]
+
+    def alike(names: list[str]) -> Column:
+        condition = F.lit(True)
+        for own, other in zip(names, theirs, strict=False):
+            condition = condition & F.col(own).eqNullSafe(F.col(other))
+        return condition
+
+    rows = docs.withColumn(key, F.xxhash64("text"))
+    single = found.where("copies = 1").select(*(F.col(c).alias(t) for c, t in zip(("doc_id", "source", "tie"), theirs, strict=False)), F.col("times").alias(times))
+    out = rows.join(single, alike(same)).select(*docs.columns, times)
+    several = found.where("copies > 1").select(*(F.col(c).alias(t) for c, t in zip(("doc_id", "source", "tie", "nth"), theirs, strict=True)), F.col("times").alias(times))
+    if several.limit(1).count():
+        work = Workspace(docs.sparkSession, "mix")
+        alone = several.select(*theirs[:3]).distinct()
+        repeated = work.save(rows.join(alone, alike(same), "left_semi").withColumn(number, F.monotonically_increasing_id()), "repeated")
+        slices = max(1, math.isqrt(repeated.count()))
+        counted = _running(repeated.select(*same, number, F.pmod(F.xxhash64(number), F.lit(slices)).alias(cut), F.lit(1).alias("__one")), same, cut, [F.col(number)], "__one", nth)
+        placed = repeated.join(counted.select(number, (F.col(nth) - 1).alias(nth)), number)
+        out = out.unionByName(placed.join(several, alike([*same, nth])).select(*docs.columns, times))
+    return out.withColumn(number, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(docs.columns)
