@@ -12,13 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import Workspace, fresh, lower_ascii
 
 WINDOW, SEED = 13, 4
 #: Contaminated: this many times the hit words are at least all words.
 FACTOR = 20
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Benchmarks of up to this many seeds are broadcast with their items (some 300 bytes each); larger ones are joined by a shuffle.
+#: Seeds are broadcast with their items (some 300 bytes each), about so many at once; the documents are read for each part.
 BROADCAST_SEEDS = 200_000
 
 
@@ -74,19 +74,28 @@ def _windows_hit() -> Column:
     return F.transform(F.filter(F.sequence(first, last), fits), lambda t: t + shift)
 
 
-def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """A row for each row of docs (doc_id, text, more): row, doc_id, n_words, covered (its hit word places), item_ids."""
+def _numbered(docs: DataFrame) -> DataFrame:
+    """row, doc_id and ws, the words, of docs."""
+    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words(F.col("text")).alias("ws"))
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """A row for each row of docs (doc_id, text, more): row, doc_id, n_words, covered (its hit word places), item_ids.
+
+    Seeds are dealt by a hash of seed, place and item to parts of about BROADCAST_SEEDS, and each part is broadcast in turn; benchmarks that fit in
+    one are broadcast at once. base is docs as _numbered makes it, written, so that all parts see the same rows.
+    """
     seeds, widths = benchmark_seeds(benchmark)
-    base = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words(F.col("text")).alias("ws"))
+    parts = max(1, -(-seeds.count() // BROADCAST_SEEDS)) if widths else 1
+    if base is None:
+        base = _numbered(docs) if parts == 1 else Workspace(docs.sparkSession, "decontaminate").save(_numbered(docs), "words")
     probed = base.withColumn("probes", _probes(F.col("ws"), widths))
     each = probed.select("row", "doc_id", "ws", F.explode("probes").alias("probe")).select("row", "doc_id", "ws", "probe.seed", "probe.at")
-    small = not widths or seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
-    if small:
-        joined = each.join(F.broadcast(seeds), "seed", "left").where("at < 0 or place is not null")
-    else:
-        # Only the seeds are shuffled; the words of the documents hit follow.
-        narrow = each.select("row", "seed", "at").where("at >= 0").join(seeds, "seed")
-        joined = base.join(narrow, "row", "left").withColumn("at", F.coalesce("at", F.lit(-1)))
+    joined = None
+    for k in range(parts):
+        part = seeds if parts == 1 else seeds.where(F.pmod(F.xxhash64("seed", "place", "item_words"), F.lit(parts)) == k)
+        some = each.join(F.broadcast(part), "seed", "left").where("at < 0 or place is not null")
+        joined = some if joined is None else joined.unionByName(some)
     found = joined.select("row", "doc_id", F.size("ws").cast("long").alias("n_words"), F.when(F.col("at") >= 0, _windows_hit()).alias("starts"), "width", "item_ids")
     spans = F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.col("width") - 1)))
     hit = F.size("starts") > 0
@@ -99,7 +108,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     A null text has no words; it and an empty one hit nothing. Items without words have no windows; item_ids that repeat
     count once, and items alike in words count each. Without a benchmark nothing is hit. Rows that share a doc_id are rows
-    of their own.
+    of their own; an empty table of documents gives no rows. The words of one document are in memory at once, as its text is.
     """
     found = hits(docs, benchmark)
     n_hit = F.size("covered").cast("long")
@@ -108,21 +117,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the contaminated ones, with all columns. Only the ids of those to go are shuffled against docs, and
-    sent to all tasks where few. Rows without a doc_id stay unless contaminated, as others do."""
-    marked = docs.withColumn("__key", F.xxhash64("text")).select("doc_id", "__key", "text")
-    found = hits(marked.withColumn("doc_id", F.struct("doc_id", "__key")), benchmark)
+    """docs without the contaminated ones, with all columns, in any number of rows alike. Rows without a doc_id stay unless
+    contaminated, as others do. docs, texts included, are shuffled once, by id and a hash of the text."""
+    key, own_id, own_key = fresh(docs, "key", "bad_id", "bad_key")
+    marked = docs.select(F.struct("doc_id", F.xxhash64("text").alias("key")).alias("doc_id"), "text")
     n_hit = F.size("covered")
-    bad = found.where((n_hit > 0) & (n_hit * FACTOR >= F.col("n_words"))).select(F.col("doc_id.doc_id").alias("__id"), F.col("doc_id.__key").alias("__bad")).distinct()
-    own = docs.withColumn("__key", F.xxhash64("text"))
-    return own.join(bad, own["doc_id"].eqNullSafe(bad["__id"]) & (own["__key"] == bad["__bad"]), "left_anti").select(docs.columns)
+    bad = hits(marked, benchmark).where((n_hit > 0) & (n_hit * FACTOR >= F.col("n_words"))).select(F.col("doc_id.doc_id").alias(own_id), F.col("doc_id.key").alias(own_key)).distinct()
+    rows = docs.withColumn(key, F.xxhash64("text"))
+    return rows.join(bad, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(key) == F.col(own_key)), "left_anti").select(docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """row, doc_id and clean_text of each row of docs: its words that no window hit, a space between two; the text as it
-    is where nothing was hit."""
-    base = docs.select(F.monotonically_increasing_id().alias("row"), "text", words(F.col("text")).alias("ws"))
-    found = hits(docs, benchmark).select("row", "doc_id", "covered")
+    is where nothing was hit. The rows' numbers are written before they are used, so a task that is run again, or another
+    plan, can't pair a document with another's hits."""
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", words(F.col("text")).alias("ws"))
+    base = Workspace(docs.sparkSession, "decontaminate").save(numbered, "rows")
+    found = hits(docs, benchmark, base.drop("text")).select("row", "covered")
     places = F.array_except(F.sequence(F.lit(0), F.size("ws") - 1), F.col("covered"))
     kept = F.transform(places, lambda i: F.get(F.col("ws"), i))
     return base.join(found, "row").select("row", "doc_id", F.when(F.size("covered") > 0, F.concat_ws(" ", kept)).otherwise(F.col("text")).alias("clean_text"))
