@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, remove_hidden, small_batches
+from .common import Workspace, remove_hidden
 
 # Fixed values of the zstandard format and of its seekable extension.
 SKIPPABLE_DIRECTORY = 0x184D2A50
@@ -128,8 +128,9 @@ class Encoder:
         return None if ids is None else self.marks["\n"] + ids
 
     def one(self, text: str) -> bytes:
-        # The lines of a text are parts too, unless some are empty or begin or end with white space.
-        for parted in (text.replace("\n", " \n"), text) if "\n" in text else (text,):
+        # The lines of a text are parts too, unless some are empty or begin or end with white space. Then they stay whole,
+        # unless one ends with a space: a part with a line feed in front would be taken for a line.
+        for parted in (text.replace("\n", " \n"), text)[: 1 + ("\n" in text and " \n" not in text)]:
             start, *more = parted.split(" ")
             try:
                 return b"".join([self.first[start], *map(self.rest.__getitem__, more)])
@@ -250,7 +251,6 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame
     their texts' hashes. The tokenizer is a file that all executors reach; only its place travels.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     target, source = tokenizer, folder
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
