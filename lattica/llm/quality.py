@@ -87,7 +87,8 @@ def quality(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS) -> D
     """doc_id, held_out, score, predicted for each row of docs (doc_id, text, more).
 
     A null text is an empty one, which has a score too. A row without a doc_id isn't held out. Without labels of both kinds
-    all documents are accepted. An empty table gives no rows.
+    all documents are accepted. An empty table gives no rows, and repeated rows one each; a text's words are in memory at
+    once, as the text is.
     """
     model = learn(docs, labels, bound)
 

@@ -85,7 +85,8 @@ def test_near_duplicates_at_the_bound_and_in_hot_groups(spark, monkeypatch):
     monkeypatch.setattr(neardup, "SMALL_BUCKET", 4)
     monkeypatch.setattr(neardup, "PIVOTS", 1)
     monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 1500)
-    monkeypatch.setattr(neardup, "BROADCAST_IDS", 5)
+    monkeypatch.setattr(neardup, "BLOCK_MEMBERS", 7)
+    monkeypatch.setattr(neardup, "TILE", 50)
     sets = [_shingles(t) for t in texts]
     comp = list(range(len(texts)))
     for i in range(len(texts)):
@@ -164,7 +165,7 @@ def test_frames_are_independent_and_checked(monkeypatch):
 
 def test_decontamination(docs, spark, monkeypatch):
     bench = spark.createDataFrame([(1, "quick brown fox"), (2, " ".join(LONG.split()[100:120])), (3, None), (4, "!!"), (5, "quick brown fox")], "item_id long, text string")
-    for limit in (decontaminate.BROADCAST_SEEDS, 0):  # broadcast, and the other way
+    for limit in (decontaminate.BROADCAST_SEEDS, 7):  # one part, and several
         monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", limit)
         got = {r.doc_id: r for r in decontaminate.contamination(docs, bench).collect()}
         assert (got[1].n_words, got[1].n_hit, got[1].n_items, got[1].contaminated) == (12, 3, 2, True)
@@ -178,6 +179,49 @@ def test_decontamination(docs, spark, monkeypatch):
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
 
 
+CLASHES = ["__nth", "__tie", "__key", "__id", "__bad", "__own_tie", "__own_nth", "__times", "nth", "key", "tie", "times", "number", "cut", "several", "node", "salt", "rows", "their_id", "bad_id", "bad_key", "band", "value", "taken"]
+
+
+def test_stages_keep_clashing_columns_texts_and_nulls(spark):
+    rows = [(1, LONG, "en", "a"), (1, "one two three four five six", "en", "a"), (1, "one two three four five six", "en", "a"), (2, LONG, "de", None), (None, "x y z", None, "b"), (None, "x y z", None, "b"), (None, None, None, None), (None, None, None, None), (4, None, "en", "b"), (5, "", "en", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    df = df.withColumns({c: F.lit(c) for c in CLASHES})
+    marks = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "three four five")], "item_id long, text string")
+    for stage in (quality.accept, neardup.deduplicate, decontaminate.remove_contaminated, mixing.apply_mix):
+        more = [marks] if stage is quality.accept else [bench] if stage is decontaminate.remove_contaminated else []
+        out = stage(df, *more)
+        assert out.columns == df.columns and all(r[c] == c for r in out.collect() for c in CLASHES)
+        assert stage(df.limit(0), *more).count() == 0
+    assert quality.accept(df, marks).count() == len(rows)
+    kept = sorted((str(r.doc_id), (r.text or "")[:9]) for r in neardup.deduplicate(df).collect())
+    assert kept == sorted([("1", LONG[:9]) if ("1", LONG[:9]) in kept else ("2", LONG[:9]), ("1", "one two t"), ("None", "x y z"), ("None", "x y z"), ("None", ""), ("None", ""), ("4", ""), ("5", "")])
+    clean = decontaminate.remove_contaminated(df, bench).collect()
+    assert len(clean) == len(rows) - 2
+    mixed = mixing.apply_mix(df).groupBy("doc_id", "text").count().collect()
+    taken = {(r.doc_id, r.text): r.taken for r in mixing.mix(df).groupBy("doc_id").agg(F.lit("").alias("text"), F.sum("taken").alias("taken")).collect()}
+    words = {i: sum(r["count"] * len(_words(r.text)) for r in mixed if r.doc_id == i) for i in {r.doc_id for r in mixed}}
+    assert all(taken[i, ""] == n for i, n in words.items()) and sum(taken.values()) == sum(words.values())
+
+
+def test_stages_take_an_empty_corpus(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 0
+
+
+def test_a_shared_folder_is_needed_on_a_cluster():
+    from types import SimpleNamespace
+
+    from lattica.llm.common import shared_folder
+
+    context = SimpleNamespace(master="spark://host:7077", getConf=lambda: {}, getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(sparkContext=context))
+
+
 def test_mix(docs):
     got = mixing.mix(docs).collect()
     assert len(got) == len(TEXTS)
@@ -225,8 +269,18 @@ def test_line_dedup(spark):
     assert {k: (r.n_removed, r.text) for k, r in got.items()} == {1: (0, "a\nb\nc\nd"), 2: (3, "x\ny"), 3: (0, None), 4: (0, ""), 5: (0, "a\nb"), 6: (2, ""), 7: (3, "p"), 8: (3, "r\ns\nt")}
 
 
-def test_media(docs):
-    got = media.media_features(media.encode_media(docs)).collect()
+def test_line_dedup_of_repeated_rows_and_no_rows(spark):
+    rows = [(None, "x\ny\nz"), (None, "x\ny\nz"), (1, "a\nb\nc"), (1, "a\nb\nc"), (2, "a\nb\nc"), (None, None), (3, "\n\n"), (4, "only"), (4, "one more"), (5, LONG)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"row": F.lit(1), "tie": F.lit(1), "drop": F.lit(1)})
+    got = sorted((str(r.doc_id), r.n_lines, r.n_removed, r.text or "") for r in line_dedup.line_dedup(df).collect())
+    assert got == sorted([("None", 3, 0, "x\ny\nz"), ("None", 3, 3, ""), ("1", 3, 0, "a\nb\nc"), ("1", 3, 3, ""), ("2", 3, 3, ""), ("None", 0, 0, ""), ("3", 3, 0, "\n\n"), ("4", 1, 0, "only"), ("4", 1, 0, "one more"), ("5", 1, 0, LONG)])
+    assert line_dedup.line_dedup(df.limit(0)).count() == 0
+
+
+def test_media(docs, spark, tmp_path):
+    got = media.media_features(media.store_media(docs, f"file://{tmp_path}/streams")).collect()
+    assert media.media_features(media.store_media(docs.limit(0), f"file://{tmp_path}/none")).count() == 0
+    assert all(r.duration_samples * 125 == r.n_frames * 3 * r.duration_hertz and list(r.frame_offsets) == sorted(r.frame_offsets) and len(r.frame_offsets) == r.n_frames for r in got)
     assert len(got) == len(TEXTS)
     for r in got:
         raw = (dict((i, t) for i, t, *_ in TEXTS)[r.doc_id] or "").encode()
@@ -248,6 +302,80 @@ def test_mpeg_parser_resynchronises_and_checks():
     assert media.parse(mixed)["bitrates"] == {128: 2, 192: 1} and media.parse(mixed)["sizes"] == [417, 418, 626]
 
 
+def _plain_crc(bits):
+    crc = 0xFFFF
+    for b in bits:
+        crc = (crc << 1 & 0xFFFF) ^ (0x8005 if crc >> 15 ^ b else 0)
+    return crc
+
+
+def _bits(raw):
+    return [x >> k & 1 for x in raw for k in range(7, -1, -1)]
+
+
+@pytest.mark.parametrize(
+    ("header", "size", "covered"),
+    [
+        # Layer I, 48 kHz, 128 kbit/s: 32 allocations of 4 bits for each of two channels; mono; joint stereo from subband 8 on.
+        ((0xFF, 0xFE, 0x44, 0x00), 128, lambda body: 256),
+        ((0xFF, 0xFE, 0x44, 0xC0), 128, lambda body: 128),
+        ((0xFF, 0xFE, 0x44, 0x50), 128, lambda body: 4 * (8 * 2 + 24)),
+        # Layer II, 48 kHz, 64 kbit/s mono: 27 subbands; 44.1 kHz, 32 kbit/s mono: 8 subbands. Two more bits for each one used.
+        ((0xFF, 0xFC, 0x44, 0xC0), 192, lambda body: 88 + 2 * sum(any(x) for x in _runs(body, ((4, 11), (3, 12), (2, 4))))),
+        ((0xFF, 0xFC, 0x10, 0xC0), 104, lambda body: 26 + 2 * sum(any(x) for x in _runs(body, ((4, 2), (3, 6))))),
+    ],
+)
+def test_crcs_of_layers_one_and_two(header, size, covered):
+    body = bytes(np.random.default_rng(sum(header)).integers(0, 256, size - 6, np.uint8))
+    n = covered(body)
+    crc = _plain_crc(_bits(bytes(header[2:])) + _bits(body)[:n])
+    frame = bytes(header) + crc.to_bytes(2) + body
+    assert media.parse_header(frame[:4])[5] == size
+    found = media.parse(frame * 2)
+    assert (found["crc_good"], found["crc_bad"], len(found["offsets"])) == (2, 0, 2)
+    broken = frame[:6] + bytes([frame[6] ^ 0x80]) + frame[7:]
+    assert media.parse(broken * 2)["crc_bad"] == 2
+
+
+def _runs(body, widths):
+    bits = _bits(body)
+    for w, n in widths:
+        for _ in range(n):
+            yield bits[:w]
+            bits = bits[w:]
+
+
+def test_tags_of_all_kinds():
+    frames = media.write_stream(bytes(192), 3)
+    audio = frames[frames.index(media.HEADER) :]
+    old = b"ID3\x02\0\0" + bytes((0, 0, 0, 9)) + b"TT2" + (3).to_bytes(3) + b"abc"
+    spread = b"TIT2" + (3).to_bytes(4) + b"\0\0" + b"\xff\0\x01\x02"
+    third = b"ID3\x03\0\xc0" + bytes((0, 0, 0, 10 + len(spread))) + (6).to_bytes(4) + bytes(6) + spread
+    ape = b"APETAGEX" + (2000).to_bytes(4, "little") + (40).to_bytes(4, "little") + (1).to_bytes(4, "little") + bytes(12)
+    found = media.parse(old + third + audio + b"itemitem" + ape + b"TAG" + bytes(125))
+    assert found["tags"]["TT2"] == b"abc" and found["tags"]["TIT2"] == b"\xff\x01\x02" and found["tags"]["APE"] == b"itemitem"
+    assert "ID3v1" in found["tags"] and len(found["offsets"]) == 1 and found["skipped"] == 0 and found["crc_bad"] == 0
+
+
+def test_quality_is_what_brute_force_says(spark):
+    texts = ["", "plain words, and more of them.\nA line.", "JUNK!!! $$$ ### a|b|c 123", "été à la carte"]
+    for t in texts:
+        raw, words = t.encode(), t.encode().split()
+        letters = sum(65 <= b < 91 or 97 <= b < 123 or b >= 128 for b in raw) + 1
+        got = quality.features(t)
+        assert got[0] == pytest.approx(sum(65 <= b < 91 for b in raw) / letters) and got[1] == pytest.approx(sum(48 <= b < 58 for b in raw) / (len(raw) + 1))
+        assert got[3] == pytest.approx(t.count("!") / (len(raw) + 1)) and len(got) == len(quality.features(None))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    marks = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    known = {r.doc_id: r.quality for r in marks.collect() if r.quality in (0, 1) and zlib.crc32(str(r.doc_id).encode()) % 5}
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    train = [(i, t) for i, t in rows if i in known]
+    model = quality.fit(np.array([quality.features(t) for _, t in train]), np.array([known[i] for i, _ in train]))
+    want = dict(zip([i for i, _ in rows], quality.score(model, np.array([quality.features(t) for _, t in rows])), strict=True))
+    got = {r.doc_id: (r.score, r.predicted, r.held_out) for r in quality.quality(docs, marks).collect()}
+    assert got == {i: (pytest.approx(s), int(s >= 0.3), zlib.crc32(str(i).encode()) % 5 == 0) for i, s in want.items()}
+
+
 def test_classifiers(docs, labels, spark):
     real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     marks = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -260,6 +388,40 @@ def test_classifiers(docs, labels, spark):
     assert quality.accept(docs, marks).columns == docs.columns
 
 
+def test_voters_that_repeat_each_other_count_once():
+    draw = np.random.default_rng(2)
+    toxic = draw.random(4000) < 0.2
+    fires = lambda yes, no: (draw.random(4000) < np.where(toxic, yes, no)).astype(np.float32)
+    a, b, c, d = (fires(0.5, 0.02) for _ in range(4))
+    quiet = (a + b + c + d == 0).astype(np.float32)
+    alone, parent = toxicity.label_model(np.stack([a, b, c, d, quiet], 1), 0.2, 4)
+    assert ((alone > 0.5) == toxic).mean() > 0.9
+    wrong = fires(0.3, 0.3)
+    many = np.stack([a, b, c, d, *[wrong] * 5, quiet], 1)
+    together, parent = toxicity.label_model(many, 0.2, 9)
+    assert sum(4 <= p < 9 for p in parent[4:9]) == 4
+    assert ((together > 0.5) == toxic).mean() > ((alone > 0.5) == toxic).mean() - 0.05
+
+
+def test_voters_fire_as_brute_force_says():
+    mined = [("start4", "lowe"), ("dense5/50", "lostr"), ("dense5/100", "lostr"), ("word", "zaunkönig")]
+    v = toxicity.Voters(mined)
+    texts = [None, "", "Loweiß und mehr", "lowe", "lostra lostri " + "und " * 60, "lostra " + "und " * 5, "Zaunkönig ZAUNKÖNIG", "you are an idiot", "GO AWAY NOW YOU LOUD PERSON OF NOTE", "der die das " * 8, LONG]
+    for t in texts:
+        words = re.findall(r"[^\W\d_]+", (t or "").lower())
+        want = {k for k in v.keys if k[0] == "word" and k[1] in words}
+        want |= {k for k in v.keys if k[0] == "start4" and any(w.startswith(k[1]) and w != k[1] for w in words)}
+        for k in v.keys:
+            if k[0].startswith("dense"):
+                n = sum(w.startswith(k[1]) and w != k[1] for w in words)
+                if n > 1 and n * int(k[0].split("/")[1]) >= len(words):
+                    want.add(k)
+        want |= {k for k in v.keys if k[0] == "pattern" and re.search(k[1], (t or "").lower())}
+        got = {v.keys[i] for i in v.fired(t)}
+        assert {k for k in got if k[0] not in ("rule", "clean")} == want
+        assert (("clean", "no objection") in got) == (not want)
+
+
 def test_url_rules(spark, labels):
     urls = ["http://Example.com/en/x", "http://www.example.com/en/", "https://a.net/es/1", "https://a.net/en/", "nothing", None, "http://org?x=1#y", "x://com"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("tokens", F.lit(0))
@@ -285,7 +447,8 @@ def test_mined_url_rules_see_every_token_of_long_urls(spark):
     assert url_rules.mine(pages, marks, 0.05, 0.9) == [(["dir:spam", "field:track"], 1.0)]
 
 
-def test_mined_url_rules_are_all_minimal_ones(spark):
+@pytest.mark.parametrize("certainty", [0.0, 0.7])
+def test_mined_url_rules_are_all_minimal_ones(spark, certainty):
     draw = np.random.default_rng(5)
     parts = [sorted({f"p{k}" for k in draw.integers(0, 9, 6)}) for _ in range(80)]
     bad = [int("p1" in x and "p4" in x or draw.random() < 0.3) for x in parts]
@@ -294,12 +457,37 @@ def test_mined_url_rules_are_all_minimal_ones(spark):
     baskets = [{"scheme:http", "host:h.org", "end:org", "label:h", "label:org", *(f"dir:{p}" for p in x)} for x in parts]
     want = {}
     every = sorted(set().union(*baskets))
+    sure = lambda k, n: ((p := k / n) + certainty**2 / (2 * n) - certainty * (p * (1 - p) / n + certainty**2 / (4 * n * n)) ** 0.5) / (1 + certainty**2 / n) > sum(bad) / len(bad)
     for size in range(1, max(map(len, baskets)) + 1):
         for items in itertools.combinations(every, size):
             rows = [b for x, b in zip(baskets, bad, strict=True) if x.issuperset(items)]
-            if sum(rows) >= 4 and sum(rows) / len(rows) >= 0.5 and not any(v >= sum(rows) / len(rows) and set(k) < set(items) for k, v in want.items()):
+            if sum(rows) >= 4 and sum(rows) / len(rows) >= 0.5 and sure(sum(rows), len(rows)) and not any(v >= sum(rows) / len(rows) and set(k) < set(items) for k, v in want.items()):
                 want[items] = sum(rows) / len(rows)
-    assert len(want) > 5 and {tuple(k): v for k, v in url_rules.mine(pages, marks, 0.05, 0.5)} == want
+    assert len(want) > 5 and {tuple(k): v for k, v in url_rules.mine(pages, marks, 0.05, 0.5, certainty)} == want
+
+
+def test_no_rules_are_mined_where_labels_are_unrelated(spark, labels):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    marks = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    assert url_rules.mine(pages, marks) == []
+    judged = url_rules.judge(pages, marks).collect()
+    assert len(judged) == pages.count() and {r.verdict for r in judged if r.rule is None} == {"allow"}
+
+
+def test_rules_hold_on_pages_they_were_not_mined_from(spark):
+    draw = np.random.default_rng(3)
+    rows = [(i, f"http://{draw.choice(['a', 'b', 'c'])}.org/{draw.choice(['spam', 'news', 'blog'])}/{i}") for i in range(600)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    marks = spark.createDataFrame([(i, int(draw.random() > (0.9 if "a.org/spam" in u else 0.1)), 0) for i, u in rows], "doc_id long, quality int, toxic int")
+    r = url_rules.tried(pages, marks).first()
+    assert r.n_blocked > 5 and r.n_blocked_bad / r.n_blocked > 0.7 > 2 * r.n_bad / r.n_pages
+
+
+def test_url_rules_keep_repeated_rows_and_long_urls(spark, labels):
+    long = "http://x.org/" + "/".join(f"part{i}" for i in range(3000)) + "?" + "&".join(f"k{i}=v" for i in range(500))
+    pages = spark.createDataFrame([(1, long), (1, long), (None, "http://net/es/"), (None, None)], "page_id long, url string").withColumn("verdict", F.lit("clash"))
+    got = sorted(((r.page_id, r.host, r.rule, r.verdict, len(r.path)) for r in url_rules.judge(pages, labels).collect()), key=str)
+    assert got == sorted([(1, "x.org", None, "allow", len(long.partition("?")[0]) - 12)] * 2 + [(None, "net", "net/es/", "block", 4), (None, "", None, "allow", 0)], key=str)
 
 
 def test_pipeline(spark):
