@@ -32,23 +32,22 @@ def stateless(name: Column) -> Column:
     return F.when(has_code, F.left(plain, F.length(plain) - 2)).otherwise(plain)
 
 
-def canonical_name(name: str | None) -> str | None:
-    """Letters and digits without case and accents; what follows a comma goes, else a state's name or code at the end."""
-    if name is None:
-        return None
-    plain = unicodedata.normalize("NFKD", name).casefold()
-    plain = "".join(c for c in plain if not unicodedata.combining(c)).strip()
-    head, comma, _ = plain.partition(",")
-    if comma and head.strip():
-        plain = head
-    else:
-        words = re.sub(r"\s+", " ", plain)
-        for end in [*sorted(STATE_NAMES, key=len, reverse=True), *STATE_CODES]:
-            if words.endswith(" " + end) and len(words) > len(end) + 1:
-                words = words[: -len(end) - 1]
-                break
-        plain = words
-    return "".join(c for c in plain if c.isalnum())
+#: Codes and names without spaces.
+_ADMIN = frozenset(STATE_CODES) | frozenset(x.replace(" ", "") for x in STATE_NAMES)
+
+
+def canonical_name(name: str | None) -> str:
+    """Letters and digits without case and accents; what follows a comma goes, else a state's name or code that the last word,
+    or the last two of several, make. Words are what ASCII letters and digits make, whatever stands between. Empty for
+    null."""
+    plain = unicodedata.normalize("NFKD", (name or "").strip().casefold())
+    plain = "".join(c for c in plain if not unicodedata.combining(c))
+    kept, comma, _ = plain.partition(",")
+    words = [] if comma else re.findall(r"[a-z0-9]+", plain)
+    if len(words) > 1:
+        ends = [n for n in (1, 2) if n < len(words) and "".join(words[-n:]) in _ADMIN]
+        kept = "".join(words[: -ends[0]] if ends else words)
+    return "".join(c for c in kept if c.isalnum())
 
 
 def normalise_names(df: DataFrame, name: str, out: str) -> DataFrame:
@@ -57,11 +56,11 @@ def normalise_names(df: DataFrame, name: str, out: str) -> DataFrame:
 
     @pandas_udf("string")
     def canonical(names):
-        return names.map(canonical_name)
+        return names.map(lambda x: canonical_name(x if isinstance(x, str) else None))
 
-    labels = df.select(F.col(name).alias("__name")).where("__name is not null").distinct()
+    labels = df.select(F.col(name).alias("__name")).distinct()
     aliases = labels.withColumn(out, canonical("__name"))
-    return df.join(aliases, F.col(name) == F.col("__name"), "left").drop("__name")
+    return df.join(aliases, F.col(name).eqNullSafe(F.col("__name")), "left").drop("__name")
 
 
 def panorama_id(file_name: Column) -> Column:

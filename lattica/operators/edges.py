@@ -33,6 +33,33 @@ def zero_filled(edges: DataFrame, cells: DataFrame) -> DataFrame:
     return out.select("city_1", "city_2", F.coalesce("max", F.lit(0.0)).alias("max"), F.try_divide(F.coalesce("total", F.lit(0.0)), F.col("n1") * F.col("n2")).alias("avg"), F.coalesce("pair_count", F.lit(0)).alias("pair_count"))
 
 
+def summarise_shards(edges: DataFrame, shard: str) -> DataFrame:
+    """city_1, city_2, avg, max, pair_count over shards as they are: an edge that a shard repeats counts once, at its largest
+    similarity, one that several shards have counts in each; no largest similarity is below 0."""
+    once = canonical(edges).groupBy(shard, "hex_id1", "hex_id2", "city1", "city2").agg(F.max("similarity").alias("s"))
+    parts = once.groupBy(shard, "city1", "city2").agg(F.sum("s").alias("s"), F.max("s").alias("m"), F.count("*").alias("n"))
+    out = parts.groupBy(F.col("city1").alias("city_1"), F.col("city2").alias("city_2")).agg((F.sum("s") / F.sum("n")).alias("avg"), F.greatest(F.max("m"), F.lit(0.0)).alias("max"), F.sum("n").alias("pair_count"))
+    return out
+
+
+def swept_centre_summary(edges: DataFrame, cells: DataFrame, centres: DataFrame, kilometres: list[int]) -> DataFrame:
+    """n_km, city_1, city_2, mean_similarity, center_dist: for each bound, of edges whose ends both lie nearer to their
+    centres (cells: hex_id, h3_cbd_dist in metres), the mean similarity, where it is above 0, and the metres between the
+    cities' centres (city, lat, lon). An edge is sent once to each bound that it meets."""
+    from ..functions.places import haversine_km
+
+    d = cells.groupBy("hex_id").agg(F.min("h3_cbd_dist").alias("d"))
+    out = edges
+    for k in "12":
+        out = out.join(d.toDF(f"hex_id{k}", f"d{k}"), f"hex_id{k}")
+    far = F.greatest("d1", "d2")
+    out = out.withColumn("n_km", F.explode(F.filter(F.array(*map(F.lit, kilometres)), lambda n: far < n * 1000)))
+    out = out.groupBy("n_km", F.least("city1", "city2").alias("city_1"), F.greatest("city1", "city2").alias("city_2")).agg(F.avg("similarity").alias("mean_similarity")).where("mean_similarity > 0")
+    for k in "12":
+        out = out.join(centres.toDF(f"city_{k}", f"lat{k}", f"lon{k}"), f"city_{k}")
+    return out.select("n_km", "city_1", "city_2", "mean_similarity", (haversine_km(*(F.col(c) for c in ("lat1", "lon1", "lat2", "lon2"))) * 1000).alias("center_dist"))
+
+
 def within_cells(edges: DataFrame, cells: DataFrame) -> DataFrame:
     """Edges with both ends among the cells."""
     ids = cells.select("hex_id").distinct()

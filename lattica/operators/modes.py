@@ -66,11 +66,49 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     return all_.select(ari.alias("ari"))
 
 
-def select_k(scores: DataFrame, gain: float = 0.01) -> DataFrame:
-    """k of the first valid candidate whose next one gains less than gain; if every one gains more, the valid one with the
-    largest stability times cohesion. scores: k, status, stability, held_out_mean_cohesion."""
-    valid = scores.where(F.col("status") == "ok")
+def adjusted_rands(runs: DataFrame, run: str, key: str, label: str) -> DataFrame:
+    """n_pairs and the median, mean, min, max and population deviation of the adjusted Rand index over all pairs of runs.
+    Rows of a key meet once for each pair of runs, which are few."""
+    a = runs.select(F.col(run).alias("ra"), key, F.col(label).alias("la"))
+    b = runs.select(F.col(run).alias("rb"), key, F.col(label).alias("lb"))
+    both, by = a.join(b, key).where("ra < rb"), ["ra", "rb"]
+    two = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
+    cells = both.groupBy(*by, "la", "lb").agg(F.count("*").cast("double").alias("n"))
+    rows = cells.groupBy(*by, "la").agg(F.sum("n").alias("n")).groupBy(*by).agg(two("n").alias("sa"))
+    cols = cells.groupBy(*by, "lb").agg(F.sum("n").alias("n")).groupBy(*by).agg(two("n").alias("sb"))
+    all_ = cells.groupBy(*by).agg(two("n").alias("s"), F.sum("n").alias("total")).join(rows, by).join(cols, by)
+    expected = F.try_divide(F.col("sa") * F.col("sb"), F.col("total") * (F.col("total") - 1) / 2)
+    ari = all_.select(F.coalesce(F.try_divide(F.col("s") - expected, (F.col("sa") + F.col("sb")) / 2 - expected), F.lit(1.0)).alias("ari"))
+    return ari.agg(F.count("*").alias("n_pairs"), F.percentile("ari", F.lit(0.5)).alias("median"), F.avg("ari").alias("mean"), F.min("ari").alias("min"), F.max("ari").alias("max"), F.stddev_pop("ari").alias("std"))
+
+
+def codebook_candidates(df: DataFrame, ks: list[int], vec: str = "vec", seed: int = 0) -> DataFrame:
+    """k, status and n_modes of a codebook for each k: ok, more modes than rows, or empty modes."""
+    n = df.where(F.col(vec).isNotNull()).limit(max(ks) + 1).count()
+    rows = []
+    for k in ks:  # a model each
+        if k > n or k < 2:
+            rows.append((k, "invalid_k", 0))
+            continue
+        book = fit_codebook(df, k, vec, seed)
+        used = assign_modes(df, book, vec).select("mode_id").distinct().count()
+        rows.append((k, "ok" if used == k else "empty_modes", used))
+    return df.sparkSession.createDataFrame(rows, "k int, status string, n_modes int")
+
+
+def select_k(scores: DataFrame, gain: float = 0.005, least_stability: float = 0.9, least_share: float = 0.001) -> DataFrame:
+    """k and rule. Of the valid candidates (status ok, stable enough, no mode too small) by rising k, the first that gains less
+    cohesion than gain over the one before it; if all gain more, the one with the largest stability times cohesion, the
+    smaller of equals. An error if none is valid. scores: k, status, stability, min_mode_share, held_out_mean_cohesion."""
+    valid = scores.where((F.col("status") == "ok") & (F.col("stability") >= least_stability) & (F.col("min_mode_share") >= least_share))
     order = Window.orderBy("k")  # a row for each candidate k
-    gains = valid.withColumn("gain", F.lead("held_out_mean_cohesion").over(order) - F.col("held_out_mean_cohesion"))
-    best = gains.agg(F.min(F.when(F.col("gain") < gain, F.col("k"))).alias("elbow"), F.max_by("k", F.col("stability") * F.col("held_out_mean_cohesion")).alias("best"))
-    return best.select(F.coalesce("elbow", "best").alias("k"))
+    gained = valid.withColumn("gain", F.col("held_out_mean_cohesion") - F.lag("held_out_mean_cohesion").over(order))
+    best = gained.agg(F.min(F.when(F.col("gain") < gain, F.col("k"))).alias("elbow"), F.max(F.struct((F.col("stability") * F.col("held_out_mean_cohesion")).alias("s"), (-F.col("k")).alias("k"))).alias("best"))
+    k = F.coalesce("elbow", -F.col("best.k"), F.raise_error(F.lit("no candidate is stable enough with modes large enough")).cast("int"))
+    return best.select(k.alias("k"), F.when(F.col("elbow").isNotNull(), "smallest_valid_elbow").otherwise("max_stability_times_cohesion").alias("rule"))
+
+
+def top_per_mode(assigned: DataFrame, n: int, key: str) -> DataFrame:
+    """The n rows of each mode nearest to its centroid, and their rank; the smaller key of equals first."""
+    rank = F.row_number().over(Window.partitionBy("mode_id").orderBy(F.desc("cohesion"), key))
+    return assigned.withColumn("rank", rank).where(F.col("rank") <= n)

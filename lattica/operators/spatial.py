@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.places import haversine_km, inside, mercator
 
 
-def pair_distances(places: DataFrame) -> DataFrame:
-    """Kilometres between all places (id, lat, lon) that lie apart, each pair once: the product is the result."""
-    a, b = places.toDF("id1", "lat1", "lon1"), places.toDF("id2", "lat2", "lon2")
+def pair_distances(places: DataFrame, by: str) -> DataFrame:
+    """Kilometres between all places (id, lat, lon) of one group that lie apart, each pair once; no others are compared."""
+    a, b = (places.select(by, *(F.col(c).alias(f"{c}{k}") for c in ("id", "lat", "lon"))) for k in (1, 2))
     d = haversine_km(*(F.col(c) for c in ("lat1", "lon1", "lat2", "lon2")))
-    return a.join(b, F.col("id1") < F.col("id2")).select("id1", "id2", d.alias("dist_pair")).where("dist_pair > 0")
+    return a.join(b, by).where("id1 < id2").select("id1", "id2", by, d.alias("dist_pair")).where("dist_pair > 0")
 
 
 def centre_distances(places: DataFrame, centres: DataFrame, key: str) -> DataFrame:

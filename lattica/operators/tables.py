@@ -32,8 +32,8 @@ def threshold_sweep(df: DataFrame, value: str, thresholds: list[float], out: str
 
 def balanced(df: DataFrame, key: str, period: str, n: int) -> DataFrame:
     """Rows of keys that have all n periods."""
-    periods = F.size(F.collect_set(period).over(Window.partitionBy(key)))
-    return df.withColumn("__n", periods).where(F.col("__n") == n).drop("__n")
+    whole = df.groupBy(key).agg(F.countDistinct(period).alias("__n")).where(F.col("__n") == n).select(key)
+    return df.join(whole, key, "left_semi").select(df.columns)
 
 
 def log_change(panel: DataFrame, key: str, period: str, before, after, value: str) -> DataFrame:
@@ -70,11 +70,29 @@ def confusion_by_cell(df: DataFrame, cell: str, truth: str, guess: str) -> DataF
     return top.join(false, cell, "left")
 
 
-def average_rank(df: DataFrame, value: str, out: str = "rank", by: list[str] | None = None) -> DataFrame:
-    """Falling rank, equals at their mean, cut to a whole number."""
-    w = Window.partitionBy(*(by or [])).orderBy(F.desc(value))
-    ties = F.count("*").over(Window.partitionBy(*(by or []), value))
-    return df.withColumn(out, (F.rank().over(w) + (ties - 1) / 2).cast("int"))
+def average_rank(df: DataFrame, value: str, out: str = "rank", by: list[str] | None = None, slices: int = 200) -> DataFrame:
+    """Falling rank of a number, equals at their mean, cut to a whole number; nulls last. Values are ranked within slices
+    between approximate quantiles, after the rows of the slices before; no window goes over a whole table or group."""
+    by = by or []
+    values = df.groupBy(*by, value).agg(F.count("*").alias("__n"))
+    edges = sorted(set(df.approxQuantile(value, [i / slices for i in range(1, slices)], 0.001)))  # slices numbers
+    cut = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(value))) if edges else F.lit(0)
+    cut = F.coalesce(-cut, F.lit(1))  # the highest values first, nulls after all
+    placed = values.withColumn("__cut", F.when(F.col(value).isNull(), 1).otherwise(cut))
+    sums = placed.groupBy(*by, "__cut").agg(F.sum("__n").alias("__s"))
+    before = F.coalesce(F.sum("__s").over(Window.partitionBy(*by).orderBy("__cut").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.withColumn("__before", before).drop("__s").withColumnsRenamed({k: f"__by_{k}" for k in by}).withColumnRenamed("__cut", "__own_cut")
+    on = F.col("__cut") == F.col("__own_cut")
+    for k in by:
+        on = on & F.col(k).eqNullSafe(F.col(f"__by_{k}"))
+    within = Window.partitionBy(*by, "__cut").orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = placed.join(F.broadcast(sums) if not by else sums, on)  # as many rows as slices
+    rank = F.col("__before") + F.coalesce(F.sum("__n").over(within), F.lit(0)) + (F.col("__n") + 1) / 2
+    ranks = ranked.select(*(F.col(k).alias(f"__k_{k}") for k in by), F.col(value).alias("__v"), rank.cast("int").alias(out))
+    same = F.col(value).eqNullSafe(F.col("__v"))
+    for k in by:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return df.join(ranks, same).drop("__v", *(f"__k_{k}" for k in by))
 
 
 def quantile_bins(df: DataFrame, value: str, n: int, out: str = "bin") -> DataFrame:
@@ -88,13 +106,6 @@ def min_max(df: DataFrame, value: str, by: str, out: str) -> DataFrame:
     return df.withColumn(out, F.try_divide(F.col(value) - F.min(value).over(w), F.max(value).over(w) - F.min(value).over(w)))
 
 
-def z_score(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Columns at mean 0 and population deviation 1."""
-    stats = df.agg(*(F.avg(c).alias(f"__m_{c}") for c in columns), *(F.stddev_pop(c).alias(f"__s_{c}") for c in columns))
-    out = df.join(F.broadcast(stats))
-    return out.select(*(c for c in df.columns if c not in columns), *(F.try_divide(F.col(c) - F.col(f"__m_{c}"), F.col(f"__s_{c}")).alias(c) for c in columns))
-
-
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """variable, n, mean, std, min, max, rounded to three places."""
     stats = df.agg(*(F.struct(F.count(c).alias("n"), F.round(F.avg(c), 3).alias("mean"), F.round(F.stddev_samp(c), 3).alias("std"), F.round(F.min(c).cast("double"), 3).alias("min"), F.round(F.max(c).cast("double"), 3).alias("max")).alias(c) for c in columns))
@@ -120,11 +131,14 @@ def first_contained(left: DataFrame, name: str, keys: DataFrame, key: str, limit
 
 
 def star_merge(base: DataFrame, key: str, tables: list[DataFrame]) -> DataFrame:
-    """base with the columns of all tables by key, one row for each key."""
-    out = base
-    for t in tables:
-        out = out.join(t, key, "left")
-    return out.dropDuplicates([key])
+    """base with the columns of all tables by key, one row for each key: of several rows of a table the least one, column by
+    column."""
+    out = None
+    for t in (base, *tables):
+        rest = [c for c in t.columns if c != key]
+        once = t.groupBy(key).agg(F.min(F.struct(*rest)).alias("__r")).select(key, *(F.col("__r")[c].alias(c) for c in rest))
+        out = once if out is None else out.join(once, key, "left")
+    return out
 
 
 def shapley_r2(subsets: DataFrame, factors: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, places
-from ..operators import cells, graphs, regions, spatial, tables
+from ..operators import cells, clusters, graphs, regions, spatial, tables
 from ..sources import tables as read
 from ..streaming import daily_counts
 
@@ -100,10 +100,7 @@ def _suppliers(spark, sf) -> DataFrame:
 @_query(f"WITH {_PL} SELECT id1, id2, round(d, 6) AS dist_pair FROM (SELECT a.id AS id1, b.id AS id2, {_HAV.format(a='a.lat', b='b.lat', c='a.lon', d='b.lon')} AS d FROM p a JOIN p b ON a.id < b.id WHERE a.city = b.city) WHERE d > 0")
 def pair_distances(spark, sf):
     s = _suppliers(spark, sf)
-    a = spatial.pair_distances(s.select("id", "lat", "lon"))
-    c = s.select("id", "city")
-    same = a.join(c.toDF("id1", "c1"), "id1").join(c.toDF("id2", "c2"), "id2").where("c1 = c2")
-    return _rounded(same.select("id1", "id2", "dist_pair"))
+    return _rounded(spatial.pair_distances(s, "city").select("id1", "id2", "dist_pair"))
 
 
 @_query(f"WITH {_PL}, c AS (SELECT city, avg(lat) AS a, avg(lon) AS o FROM p GROUP BY 1) SELECT id, round({_HAV.format(a='lat', b='a', c='lon', d='o')} * 1000, 3) AS h3_cbd_dist FROM p JOIN c USING (city)")
@@ -116,14 +113,7 @@ def centre_distances(spark, sf):
 _MX = "radians(lon) * 6378137.0 AS x, ln(tan(0.7853981633974483 + radians(lat) / 2)) * 6378137.0 AS y"
 
 
-@_query(f"WITH {_O}, a AS (SELECT event_id, {_MX} FROM o WHERE dom <= 3), b AS (SELECT event_id, {_MX} FROM o WHERE dom >= 28), d AS (SELECT a.event_id AS i, b.event_id AS j, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM a JOIN b ON abs(a.x - b.x) <= 1000000 AND abs(a.y - b.y) <= 1000000), r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM d WHERE d <= 1000000) SELECT i AS id_first, j AS id_second, round(d, 3) AS distance FROM r WHERE r = 1")
-def nearest_later_pair(spark, sf):
-    o = _obs(spark, sf).withColumnRenamed("event_id", "id")
-    found = spatial.nearest_pairs(o.where("dom <= 3"), o.where("dom >= 28"), 1_000_000.0)
-    return found.select("id_first", "id_second", F.round("distance", 3).alias("distance"))
-
-
-@_query()
+@_query(f"WITH {_O}, a AS (SELECT event_id, {_MX} FROM o WHERE dom <= 15), b AS (SELECT event_id, {_MX} FROM o WHERE dom > 15), g AS (SELECT event_id, x, y, floor(x / 1000000) + i AS gx, floor(y / 1000000) + j AS gy FROM a, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j)), h AS (SELECT *, floor(x / 1000000) AS gx, floor(y / 1000000) AS gy FROM b), d AS (SELECT g.event_id AS i, h.event_id AS j, sqrt(pow(g.x - h.x, 2) + pow(g.y - h.y, 2)) AS d FROM g JOIN h USING (gx, gy)), r AS (SELECT i, min(d) AS d, arg_min(j, (d, j)) AS j FROM d WHERE d <= 1000000 GROUP BY i) SELECT i AS id_first, j AS id_second, round(d, 3) AS distance FROM r")
 def nearest_pair_of_halves(spark, sf):
     """Every event of the month's first half and the nearest one of the second."""
     o = _obs(spark, sf).withColumnRenamed("event_id", "id")
@@ -145,13 +135,6 @@ def clipped_lines(spark, sf):
     return _rounded(o.select("event_id", places.clipped_share(*end, F.lit(-50.0), F.lit(-20.0), F.lit(50.0), F.lit(20.0)).alias("share")))
 
 
-@_query(_Q + ", c AS (SELECT DISTINCT gx, gy FROM q WHERE event_id % 4 = 0) SELECT a.gx, a.gy, count(b.gx) AS n_neighbours FROM c a LEFT JOIN c b ON abs(a.gx - b.gx) <= 1 AND abs(a.gy - b.gy) <= 1 AND (a.gx <> b.gx OR a.gy <> b.gy) GROUP BY 1, 2")
-def cell_adjacency(spark, sf):
-    x, y = places.cell_xy(F.col("lat"), F.col("lon"), 8)
-    c = _obs(spark, sf).where("event_id % 4 = 0").select(x.alias("gx"), y.alias("gy"))
-    return spatial.adjacency(c).select("gx", "gy", "n_neighbours")
-
-
 @_query(_Q + ", c AS (SELECT DISTINCT gx, gy FROM q), s AS (SELECT gx, gy, gx + i AS nx, gy + j AS ny FROM c, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j) WHERE i <> 0 OR j <> 0) SELECT s.gx, s.gy, count(b.gx) AS n_neighbours FROM s LEFT JOIN c b ON b.gx = s.nx AND b.gy = s.ny GROUP BY 1, 2")
 def all_cell_adjacency(spark, sf):
     """Every occupied cell and how many of its neighbours are occupied."""
@@ -207,9 +190,9 @@ def balanced_panel(spark, sf):
     return tables.balanced(_obs(spark, sf), "user_id", "dom", 29).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
-@_query(f"WITH {_O}, c AS (SELECT day, event_type, count(*) AS n FROM o WHERE dom % 3 <> 0 GROUP BY 1, 2), s AS (SELECT unnest(generate_series((SELECT min(day) FROM c)::TIMESTAMP, (SELECT max(day) FROM c)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day) SELECT CAST(s.day AS VARCHAR) AS day, t.event_type, coalesce(n, 0) AS n FROM s CROSS JOIN (SELECT DISTINCT event_type FROM c) t LEFT JOIN c ON c.day = s.day AND c.event_type = t.event_type")
+@_query(f"WITH {_O}, c AS (SELECT day, event_type, count(*) AS n FROM o GROUP BY 1, 2), s AS (SELECT unnest(generate_series((SELECT min(day) FROM c)::TIMESTAMP, (SELECT max(day) FROM c)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day) SELECT CAST(s.day AS VARCHAR) AS day, t.event_type, coalesce(n, 0) AS n FROM s CROSS JOIN (SELECT DISTINCT event_type FROM c) t LEFT JOIN c ON c.day = s.day AND c.event_type = t.event_type")
 def daily_resample(spark, sf):
-    return tables.daily_spine(_obs(spark, sf).where("dom % 3 <> 0"), "day", "event_type").withColumn("day", F.col("day").cast("string"))
+    return tables.daily_spine(_obs(spark, sf), "day", "event_type").withColumn("day", F.col("day").cast("string"))
 
 
 @_query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type AS type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -254,7 +237,7 @@ def min_max_profiles(spark, sf):
 @_query("SELECT p_partkey, round((p_size - (SELECT avg(p_size) FROM part)) / (SELECT stddev_pop(p_size) FROM part), 6) AS p_size, round((p_retailprice - (SELECT avg(p_retailprice) FROM part)) / (SELECT stddev_pop(p_retailprice) FROM part), 6) AS p_retailprice FROM part")
 def standardised(spark, sf):
     (p,) = read(spark, sf, "part")
-    return _rounded(tables.z_score(p.select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"]))
+    return _rounded(clusters.standard_scores(p.select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"]))
 
 
 @_query(" UNION ALL ".join(f"SELECT '{c}' AS variable, count({c}) AS n, round(avg({c}), 3) AS mean, round(stddev_samp({c}), 3) AS std, round(min({c})::DOUBLE, 3) AS min, round(max({c})::DOUBLE, 3) AS max FROM lineitem" for c in ("l_quantity", "l_extendedprice", "l_discount")))
@@ -296,26 +279,25 @@ def rates_per_100k(spark, sf):
     return _rounded(n.join(people, n["n_nationkey"] == people["c_nationkey"]).drop("c_nationkey").join(cases, F.col("n_nationkey") == cases["c_nationkey"]).select("n_name", F.try_divide(F.col("q") * 100000.0, F.col("p")).alias("rate")))
 
 
-@_query("SELECT unnest(['a', 'b', 'c']) AS factor, unnest([round(100 * 0.25 / 0.6, 6), round(100 * 0.2 / 0.6, 6), round(100 * 0.15 / 0.6, 6)]) AS percent")
-def shapley_shares(spark, sf):
-    r = {"": 0.0, "a": 0.25, "b": 0.2, "c": 0.15, "a,b": 0.45, "a,c": 0.4, "b,c": 0.35, "a,b,c": 0.6}
-    return _rounded(tables.shapley_r2(spark.createDataFrame(list(r.items()), "subset string, r2 double"), ["a", "b", "c"]))
-
-
-_NAMES = ["Portland, OR", "Sao Paulo", "New York", "Bogota", "Gainesville, FL", "Rome,", "Ann, IL", "Mexico City"]
-_STATES = ", ".join(f"'{x}'" for x in names.STATE_CODES)
-
-
-@_query(f"WITH n AS (SELECT unnest({_NAMES!r}) AS name), p AS (SELECT name, regexp_replace(lower(name), '[, ]', '', 'g') AS p FROM n) SELECT name, replace(lower(name), ' ', '') AS v1, CASE WHEN contains(name, ',') AND length(p) > 4 AND p[-2:] IN ({_STATES}) THEN p[:-3] ELSE p END AS v2 FROM p")
-def normalised_names(spark, sf):
-    df = spark.createDataFrame([(x,) for x in _NAMES], "name string")
-    return df.select("name", names.spaceless(F.col("name")).alias("v1"), names.stateless(F.col("name")).alias("v2"))
+_FACTORS = ("l_linenumber", "l_linestatus", "l_returnflag")
+_SUBSETS = [[f for i, f in enumerate(_FACTORS) if mask >> i & 1] for mask in range(1, 8)]
+_R2 = " UNION ALL ".join(f"SELECT '{','.join(x)}' AS s, sum(n * pow(a - m, 2)) / any_value(t) AS r FROM (SELECT count(*) AS n, avg(l_quantity) AS a FROM lineitem GROUP BY {', '.join(x)}), g" for x in _SUBSETS)
+_GAIN = " UNION ALL ".join(
+    f"SELECT '{f}' AS factor, " + " + ".join(f"{1 / 3 if len(o) != 1 else 1 / 6} * ((SELECT r FROM s WHERE s = '{','.join(sorted([*o, f]))}') - coalesce((SELECT r FROM s WHERE s = '{','.join(o)}'), 0))" for o in ([], *([y] for y in _FACTORS if y != f), [y for y in _FACTORS if y != f])) + " AS gain"
+    for f in _FACTORS
+)
 
 
-@_query("SELECT unnest(['São Paulo', 'Bogotá', 'St. John''s', 'Gainesville Florida', 'Québec, Province of Quebec', 'Mexico City', 'New York']) AS name, unnest(['saopaulo', 'bogota', 'stjohns', 'gainesville', 'quebec', 'mexicocity', 'newyork']) AS key")
-def canonical_names(spark, sf):
-    df = spark.createDataFrame([(x,) for x in ("São Paulo", "Bogotá", "St. John's", "Gainesville Florida", "Québec, Province of Quebec", "Mexico City", "New York")], "name string")
-    return names.normalise_names(df, "name", "key")
+@_query(f"WITH g AS (SELECT avg(l_quantity) AS m, count(*) * var_pop(l_quantity) AS t FROM lineitem), s AS ({_R2}), f AS ({_GAIN}) SELECT factor, round(100 * gain / sum(gain) OVER (), 6) AS percent FROM f")
+def shapley_shares(spark, sf):
+    """The parts that three factors have in the variance of a line's quantity between their groups."""
+    (l,) = read(spark, sf, "lineitem")
+    whole = l.agg(F.avg("l_quantity").alias("m"), (F.count("*") * F.var_pop("l_quantity")).alias("t"))
+    rows = spark.createDataFrame([("", 0.0)], "subset string, r2 double")
+    for x in _SUBSETS:
+        means = l.groupBy(*x).agg(F.count("*").alias("n"), F.avg("l_quantity").alias("a")).join(F.broadcast(whole))
+        rows = rows.unionByName(means.agg(F.lit(",".join(x)).alias("subset"), (F.sum(F.col("n") * F.pow(F.col("a") - F.col("m"), 2)) / F.first("t")).alias("r2")))
+    return _rounded(tables.shapley_r2(rows, list(_FACTORS)))
 
 
 @_query("SELECT s_nationkey, string_agg(DISTINCT s_name, ',' ORDER BY s_name) AS names FROM supplier GROUP BY 1")
@@ -340,8 +322,9 @@ def year_groups(spark, sf):
 @_query("SELECT l_orderkey, l_linenumber FROM lineitem l WHERE l_quantity >= 10 AND l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 10 GROUP BY 1 HAVING count(DISTINCT l_returnflag) >= 3)")
 def images_with_three_labels(spark, sf):
     (l,) = read(spark, sf, "lineitem")
-    n = F.size(F.collect_set("l_returnflag").over(Window.partitionBy("l_orderkey")))
-    return l.where("l_quantity >= 10").withColumn("n", n).where("n >= 3").select("l_orderkey", "l_linenumber")
+    large = l.where("l_quantity >= 10")
+    rich = large.groupBy("l_orderkey").agg(F.countDistinct("l_returnflag").alias("n")).where("n >= 3").select("l_orderkey")
+    return large.join(rich, "l_orderkey", "left_semi").select("l_orderkey", "l_linenumber")
 
 
 @_query("SELECT event_id, event_type, CASE WHEN contains(lower(event_type), 'click') OR contains(lower(event_type), 'view') THEN 'browse' WHEN event_type = 'purchase' THEN 'buy' ELSE 'other' END AS kind FROM events WHERE regexp_matches(event_type, '(?i)CLICK|sign') OR event_type IN ('purchase')")
@@ -397,12 +380,7 @@ def _boxes(spark, sf, events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return k, s
 
 
-@_query(f"WITH {_O}, k AS (SELECT event_id AS id, lon, lat FROM o WHERE event_type = 'click'), b AS (SELECT id, {_BOX} FROM k), s AS (SELECT s_suppkey AS id, (s_suppkey * 53 % 340) - 170.0 AS x0, (s_suppkey * 29 % 160) - 80.0 AS y0 FROM supplier) SELECT b.id AS left_id, s.id AS right_id FROM b JOIN s ON b.x0 <= s.x0 + 5.5 AND s.x0 <= b.x1 AND b.y0 <= s.y0 + 4.5 AND s.y0 <= b.y1")
-def boxes_that_meet(spark, sf):
-    return regions.intersecting(*_boxes(spark, sf, _obs(spark, sf).where("event_type = 'click'")))
-
-
-@_query()
+@_query(f"WITH {_O}, b AS (SELECT event_id AS id, lon AS x0, lat AS y0, lon + 3 AS x1, lat + 2 AS y1 FROM o), s AS (SELECT s_suppkey AS id, (s_suppkey * 53 % 340) - 170.0 AS x0, (s_suppkey * 29 % 160) - 80.0 AS y0 FROM supplier) SELECT b.id AS left_id, s.id AS right_id FROM b JOIN s ON b.x0 <= s.x0 + 5.5 AND s.x0 <= b.x1 AND b.y0 <= s.y0 + 4.5 AND s.y0 <= b.y1")
 def all_boxes_that_meet(spark, sf):
     """The boxes of all events."""
     return regions.intersecting(*_boxes(spark, sf, _obs(spark, sf)))

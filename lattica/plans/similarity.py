@@ -59,12 +59,6 @@ def _by_id(e: DataFrame) -> DataFrame:
     return e.withColumns({"hex_id1": pick("hex_id1", "hex_id2"), "hex_id2": pick("hex_id2", "hex_id1"), "city1": pick("city1", "city2"), "city2": pick("city2", "city1")})
 
 
-@_query(f"WITH {_P}, t AS (SELECT id1, id2, s, row_number() OVER (PARTITION BY id1 ORDER BY round(s, 9) DESC, id2) AS rank FROM (SELECT id1, id2, s FROM p WHERE city1 = '0' AND city2 = '1' UNION ALL SELECT id2, id1, s FROM p WHERE city1 = '1' AND city2 = '0')) SELECT id1, id2, round(s, 6) AS similarity, rank::INTEGER AS rank FROM t WHERE rank <= 3")
-def topk_between_cities(spark, sf):
-    c = _cells(spark, sf).withColumnRenamed("hex_id", "id")
-    return _rounded(pairs.topk_pairs(c.where("city = '0'"), c.where("city = '1'"), 3).select("id1", "id2", "similarity", "rank"))
-
-
 @_query(f"WITH {_P}, t AS (SELECT id1, id2, s, row_number() OVER (PARTITION BY id1 ORDER BY round(s, 9) DESC, id2) AS rank FROM (SELECT id1, id2, s FROM p UNION ALL SELECT id2, id1, s FROM p)) SELECT id1, id2, round(s, 6) AS similarity, rank::INTEGER AS rank FROM t WHERE rank <= 3")
 def topk_across_cities(spark, sf):
     """Every cell against the cells of all other cities."""
@@ -137,12 +131,6 @@ def fitted_codebook(spark, sf):
     return _rounded(modes.fit_codebook(_cells(spark, sf), 8).select("mode_id", V.norm(F.col("centroid")).alias("length"), F.size("centroid").alias("dim")))
 
 
-@_query("SELECT 128 AS k")
-def selected_k(spark, sf):
-    scores = spark.createDataFrame([(64, "ok", 0.9, 0.70), (128, "ok", 0.9, 0.80), (256, "ok", 0.9, 0.805)], "k int, status string, stability double, held_out_mean_cohesion double")
-    return modes.select_k(scores)
-
-
 @_query(f"WITH {_E}, r AS (SELECT id, city, row_number() OVER (PARTITION BY city ORDER BY md5('7|' || city || '|' || id), id) AS r, count(*) OVER (PARTITION BY city) AS n FROM e) SELECT id AS hex_id, city, r <= least(greatest(floor(n * 0.2 + 0.5), 1), n - 1) AS is_holdout FROM r")
 def stratified_holdout(spark, sf):
     return cells.stratified_holdout(_cells(spark, sf).select("hex_id", "city"), "city", "hex_id", 0.2, 7)
@@ -155,12 +143,6 @@ def mean_unit_vectors(spark, sf):
     return _rounded(out.select("hex_id", "img_count", F.posexplode("vec").alias("dim", "x")))
 
 
-@_query(f"WITH {_E}, x AS (SELECT id, city, list_transform(v[1:10], lambda q: exp(q)) AS p FROM e), y AS (SELECT id, city, list_transform(p, lambda q: q / list_sum(p)) AS p FROM x) SELECT id AS hex_id, list_position(p, list_max(p)) - 1 AS top_class, round(list_max(p), 6) AS top_p FROM y")
-def top_class(spark, sf):
-    p = V.probabilities(F.slice("vec", 1, K))
-    return _rounded(_cells(spark, sf).withColumn("p", p).select("hex_id", V.argmax(F.col("p")).alias("top_class"), F.array_max("p").alias("top_p")))
-
-
 @_query(f"WITH {_E} SELECT id AS hex_id, round(sqrt(list_inner_product(v, v)), 6) AS length, list_count(list_filter(v, lambda q: abs(q) < 0.01))::INTEGER AS n_small, list_bool_and(list_transform(v, lambda q: isfinite(q))) AS finite FROM e")
 def vector_contract(spark, sf):
     small = F.size(F.filter(V.sparsify(F.col("vec")), lambda x: x == 0))
@@ -257,7 +239,7 @@ def source_coverage(spark, sf):
     return edges.coverage(expected, d, ["source"], F.col("n_chars") > 20000)
 
 
-@_query(f"WITH {_P}, a AS (SELECT id1, id2, s FROM p WHERE s > 0.3), b AS (SELECT id1, id2, s * 0.5 AS s FROM p WHERE s > 0.35) SELECT coalesce(a.id1, b.id1) AS id1, coalesce(a.id2, b.id2) AS id2, round(coalesce(b.s, 0) - coalesce(a.s, 0), 6) AS delta FROM a FULL JOIN b ON a.id1 = b.id1 AND a.id2 = b.id2")
+@_query(f"WITH {_P}, a AS MATERIALIZED (SELECT id1, id2, s FROM p WHERE s > 0.3), b AS (SELECT id1, id2, s * 0.5 AS s FROM a WHERE s > 0.35) SELECT coalesce(a.id1, b.id1) AS id1, coalesce(a.id2, b.id2) AS id2, round(coalesce(b.s, 0) - coalesce(a.s, 0), 6) AS delta FROM a FULL JOIN b ON a.id1 = b.id1 AND a.id2 = b.id2")
 def edge_diff(spark, sf):
     found = _by_id(pairs.cosine_pairs(_cells(spark, sf), 0.3)).withColumnsRenamed({"hex_id1": "id1", "hex_id2": "id2"})
     new = found.where("similarity > 0.35").withColumn("similarity", F.col("similarity") * 0.5)

@@ -3,11 +3,25 @@
 from __future__ import annotations
 
 import json
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share; where it is unset, a temporary one in local mode,
+    an error on a cluster."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="lattica-")
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
 def tables(spark: SparkSession, folder: str, *names: str) -> list[DataFrame]:
     return [spark.read.parquet(f"{folder}/{n}.parquet") for n in names]
 
@@ -63,6 +77,13 @@ def read_alerts(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("*", F.timestamp_millis("pubMillis").alias("ts"), F.col("location.y").alias("lat"), F.col("location.x").alias("lon"))
 
 
+def read_alerts_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The same of files with a poll in each line, which are split over tasks."""
+    polls = spark.read.schema(f"alerts array<struct<{ALERT.replace(' ', ':').replace(',:', ',')}>>").json(folder, mode="PERMISSIVE")
+    rows = polls.select(F.explode("alerts").alias("a")).select("a.*")
+    return rows.select("*", F.timestamp_millis("pubMillis").alias("ts"), F.col("location.y").alias("lat"), F.col("location.x").alias("lon"))
+
+
 def list_files(spark: SparkSession, folder: str, glob: str) -> DataFrame:
     """path, name and size of files, without reading them."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(folder)
