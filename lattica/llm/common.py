@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -54,6 +56,25 @@ class Workspace:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
+    """Jobs that run within bring at most so many rows at once to Python; afterwards the session is as it was."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def give_back() -> None:
+    """Returns what a Python worker holds but doesn't use to the system: Spark keeps workers between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such function
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def remove_hidden(spark: SparkSession, folder: str) -> None:
     """Removes the files that failed tasks left in a folder under a hidden name."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -83,6 +104,8 @@ def map_rows(df: DataFrame, start: Callable[[], Callable[[dict], dict]], schema:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 yield pa.RecordBatch.from_pydict(apply(batch.slice(at, 256).to_pydict()), schema=types)
+        del apply
+        give_back()
 
     types = _arrow_schema(df.sparkSession, schema)
     return df.mapInArrow(run, schema)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, fresh, map_rows
+from .common import Workspace, fresh, give_back, map_rows, small_batches
 from .shingles import WIDTH, Shingler, _mix, _stream
 
 PERMUTATIONS, ROWS = 64, 4
@@ -166,6 +166,7 @@ def _test_blocks(blocks: DataFrame) -> DataFrame:
                 good = (common * 100 >= union * SIMILARITY_PERCENT) & (sides[0][1][:, None] != sides[1][1][None, :])
                 i, j = np.nonzero(good)
                 yield pa.RecordBatch.from_arrays([pa.array(sides[0][0][i], pa.int64()), pa.array(sides[1][0][j], pa.int64())], ["a", "b"])
+        give_back()
 
     return blocks.mapInArrow(run, "a long, b long")
 
@@ -218,7 +219,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     work = Workspace(spark, "neardup")
-    marks = work.save(signatures(docs), "signatures")
+    with small_batches(spark):
+        marks = work.save(signatures(docs), "signatures")
     known = marks.where(F.col("doc_id").isNotNull())
     classes = work.save(known.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "classes")
 
@@ -230,7 +232,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
     texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    sets = work.save(shingle_sets(texts.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")), "sets")
+    with small_batches(spark):
+        sets = work.save(shingle_sets(texts.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")), "sets")
 
     few, many = members.where(F.col("members") <= SMALL_BUCKET), members.where(F.col("members") > SMALL_BUCKET)
     other = few.select("band", "value", F.col("node").alias("b"))
@@ -246,7 +249,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = many.select("band", "value", "salt", "node").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     apart = named.groupBy("band", "value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "value", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     open_members = work.save(named.join(apart, ["band", "value", "salt"], "left_semi").join(sets.hint("merge"), "node"), "open")
-    more = work.save(_test_blocks(_block_pairs(_blocks(open_members, work))).distinct(), "more")
+    with small_batches(spark, 8):
+        more = work.save(_test_blocks(_block_pairs(_blocks(open_members, work))).distinct(), "more")
     merged = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), work, "last") if more.limit(1).count() else first
 
     named = classes.select("set_key", "node").join(merged, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))

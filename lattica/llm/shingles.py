@@ -10,7 +10,7 @@ import numpy as np
 
 WIDTH = 5
 #: Texts are hashed in blocks of about this many bytes, whatever the batch, so memory doesn't follow the text length.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 

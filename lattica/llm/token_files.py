@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, remove_hidden
+from .common import Workspace, give_back, remove_hidden, small_batches
 
 # Fixed values of the zstandard format and of its seekable extension.
 SKIPPABLE_DIRECTORY = 0x184D2A50
@@ -47,29 +47,32 @@ ENCODE_CHARS = 1 << 20
 
 #: Memory of the ids that a worker process keeps, from task to task, of parts it has met. PART_BYTES is what a part takes
 #: besides its letters and ids. Where KEPT_BYTES are full, parts that have not been asked for of late go.
-KEPT_BYTES, PART_BYTES = 320 << 20, 200
+KEPT_BYTES, PART_BYTES = 256 << 20, 200
 #: Marks that are neither letters, digits, spaces nor the start of a contraction.
 _MARKS = ".,;:!?|#$%&*"
 
 
 class _Parts(dict):
-    """The ids of parts, which are found when they are first asked for. There are two generations of them: when the younger
-    one has most bytes, it becomes the older one, and what was only in that goes."""
+    """The ids of parts, which are found when they are first asked for, or when they were asked for of old."""
 
-    def __init__(self, find: Callable[[str], bytes], most: int):
-        self.find, self.most, self.size, self.older = find, most, 0, {}
+    def __init__(self, find: Callable[[str], bytes], older: dict | None = None):
+        self.find, self.size, self.older = find, 0, older or {}
 
     def __missing__(self, part: str) -> bytes:
         ids = self.older.get(part)
         if ids is None:
             ids = self.find(part)
-        if self.size > self.most:
-            self.older, self.size = dict(self), 0
-            self.clear()
         self[part] = ids
-        self.size += PART_BYTES + len(part) + len(ids)
+        self.size += PART_BYTES + len(part) + len(ids or b"")
         return ids
 
+    def renewed(self, most: int) -> _Parts:
+        """Itself, or when it holds most bytes a new one, to which it is the older one; what only its own older one had goes."""
+        if self.size <= most:
+            return self
+        self.older = {}
+        return _Parts(self.find, self)
+
 
 class Encoder:
     """Ids of whole texts, as little-endian unsigned 32-bit integers, from a tokenizers file.
@@ -97,10 +100,11 @@ class Encoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.space = self.alphabet[32]
         self.packed = [struct.pack("<I", i) for i in range(max(tokenizer.get_vocab().values()) + 1)]
-        self.marks = _Parts(self._piece, KEPT_BYTES // 16)
-        self.first = _Parts(lambda part: self._part("", part), KEPT_BYTES // 16)
-        self.rest = _Parts(self._later, KEPT_BYTES * 3 // 8)
+        self.marks = _Parts(self._piece)
+        self.first = _Parts(lambda part: self._part("", part))
+        self.rest = _Parts(self._later)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.encode(texts, add_special_tokens=False)]
@@ -122,12 +126,17 @@ class Encoder:
 
     def _later(self, part: str) -> bytes | None:
         """The ids of a part with the space or line feed before it; none where that stands beside white space."""
+        if part.isalpha() and part.isascii():  # most are: what _part does, without the detours
+            packed = self.packed
+            return b"".join([packed[x.id] for x in self.pieces(self.space + part)])
         if part[:1] != "\n":
             return self._part(" ", part) if part else None
         ids = self._part("", part[1:]) if len(part) > 1 else None
         return None if ids is None else self.marks["\n"] + ids
 
     def one(self, text: str) -> bytes:
+        # Each has two generations. A text's own parts come on top.
+        self.marks, self.first, self.rest = self.marks.renewed(KEPT_BYTES // 16), self.first.renewed(KEPT_BYTES // 16), self.rest.renewed(KEPT_BYTES * 3 // 8)
         # The lines of a text are parts too, unless some are empty or begin or end with white space. Then they stay whole,
         # unless one ends with a space: a part with a line feed in front would be taken for a line.
         for parted in (text.replace("\n", " \n"), text)[: 1 + ("\n" in text and " \n" not in text)]:
@@ -282,6 +291,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame
                         held, chars = [], 0
                 flush(held)
             writer.finish()
+        give_back()
         if not writer.doc_ids:
             store.delete_file(temporary)
             return
@@ -289,7 +299,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame
         yield pa.RecordBatch.from_pydict({"file": pa.array([number], pa.int64()), "name": [f"tokens-{number:06d}.zst"], "n_docs": pa.array([len(writer.doc_ids)], pa.int64()), "n_tokens": pa.array([writer.n_ids], pa.int64())})
 
     ordered = docs.select("doc_id", "text").withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
-    made = ordered.mapInArrow(run, "file long, name string, n_docs long, n_tokens long").collect()  # a row for each file
+    with small_batches(spark):
+        made = ordered.mapInArrow(run, "file long, name string, n_docs long, n_tokens long").collect()  # a row for each file
     remove_hidden(spark, folder)
     rows, total = [], 0
     for r in sorted(made):
