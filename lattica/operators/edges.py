@@ -26,35 +26,60 @@ def summarise_pairs(edges: DataFrame) -> DataFrame:
 
 def zero_filled(edges: DataFrame, cells: DataFrame) -> DataFrame:
     """Every pair of cities of cells (hex_id, city): sum of similarities over all n1 * n2 pairs of cells, 0 without edges."""
+    sums = dedupe_max(edges).groupBy("city1", "city2").agg(F.sum("similarity").alias("total"), F.max("similarity").alias("max"), F.count("*").alias("n"))
+    return zero_filled_sums(sums, cells)
+
+
+def zero_filled_sums(parts: DataFrame, cells: DataFrame) -> DataFrame:
+    """zero_filled from parts (city1, city2, n, total, max) of the edges."""
     sizes = cells.groupBy("city").agg(F.countDistinct("hex_id").alias("n"))
     pairs = sizes.toDF("city_1", "n1").join(sizes.toDF("city_2", "n2"), F.col("city_1") < F.col("city_2"))  # cities, not cells
-    sums = dedupe_max(edges).groupBy(F.col("city1").alias("city_1"), F.col("city2").alias("city_2")).agg(F.sum("similarity").alias("total"), F.max("similarity").alias("max"), F.count("*").alias("pair_count"))
-    out = pairs.join(sums, ["city_1", "city_2"], "left")
+    out = pairs.join(added(parts), ["city_1", "city_2"], "left")
     return out.select("city_1", "city_2", F.coalesce("max", F.lit(0.0)).alias("max"), F.try_divide(F.coalesce("total", F.lit(0.0)), F.col("n1") * F.col("n2")).alias("avg"), F.coalesce("pair_count", F.lit(0)).alias("pair_count"))
 
 
+def added(parts: DataFrame) -> DataFrame:
+    """city_1, city_2, total, max and pair_count of parts (city1, city2, n, total, max), over unordered pairs of cities."""
+    by = F.least("city1", "city2").alias("city_1"), F.greatest("city1", "city2").alias("city_2")
+    return parts.groupBy(*by).agg(F.sum("total").alias("total"), F.max("max").alias("max"), F.sum("n").alias("pair_count"))
+
+
 def summarise_shards(edges: DataFrame, shard: str) -> DataFrame:
     """city_1, city_2, avg, max, pair_count over shards as they are: an edge that a shard repeats counts once, at its largest
     similarity, one that several shards have counts in each; no largest similarity is below 0."""
     once = canonical(edges).groupBy(shard, "hex_id1", "hex_id2", "city1", "city2").agg(F.max("similarity").alias("s"))
-    parts = once.groupBy(shard, "city1", "city2").agg(F.sum("s").alias("s"), F.max("s").alias("m"), F.count("*").alias("n"))
-    out = parts.groupBy(F.col("city1").alias("city_1"), F.col("city2").alias("city_2")).agg((F.sum("s") / F.sum("n")).alias("avg"), F.greatest(F.max("m"), F.lit(0.0)).alias("max"), F.sum("n").alias("pair_count"))
-    return out
+    return summarise_shard_parts(once.groupBy("city1", "city2").agg(F.sum("s").alias("total"), F.max("s").alias("max"), F.count("*").alias("n")))
+
+
+def summarise_shard_parts(parts: DataFrame) -> DataFrame:
+    """summarise_shards from parts (city1, city2, n, total, max) of shards whose edges don't repeat within one."""
+    return added(parts).select("city_1", "city_2", (F.col("total") / F.col("pair_count")).alias("avg"), F.greatest("max", F.lit(0.0)).alias("max"), "pair_count")
 
 
 def swept_centre_summary(edges: DataFrame, cells: DataFrame, centres: DataFrame, kilometres: list[int]) -> DataFrame:
     """n_km, city_1, city_2, mean_similarity, center_dist: for each bound, of edges whose ends both lie nearer to their
     centres (cells: hex_id, h3_cbd_dist in metres), the mean similarity, where it is above 0, and the metres between the
     cities' centres (city, lat, lon). An edge is sent once to each bound that it meets."""
-    from ..functions.places import haversine_km
-
     d = cells.groupBy("hex_id").agg(F.min("h3_cbd_dist").alias("d"))
     out = edges
     for k in "12":
         out = out.join(d.toDF(f"hex_id{k}", f"d{k}"), f"hex_id{k}")
     far = F.greatest("d1", "d2")
     out = out.withColumn("n_km", F.explode(F.filter(F.array(*map(F.lit, kilometres)), lambda n: far < n * 1000)))
-    out = out.groupBy("n_km", F.least("city1", "city2").alias("city_1"), F.greatest("city1", "city2").alias("city_2")).agg(F.avg("similarity").alias("mean_similarity")).where("mean_similarity > 0")
+    parts = out.groupBy("n_km", "city1", "city2").agg(F.sum("similarity").alias("total"), F.count("similarity").alias("n"))
+    return swept_parts(parts, centres)
+
+
+def swept_bound(metres: Column, kilometres: list[int]) -> Column:
+    """The least bound that a cell lies within, null if it lies within none."""
+    return F.array_min(F.filter(F.array(*map(F.lit, kilometres)), lambda n: metres < n * 1000))
+
+
+def swept_parts(parts: DataFrame, centres: DataFrame) -> DataFrame:
+    """swept_centre_summary from parts (n_km, city1, city2, n, total) of the edges within each bound."""
+    from ..functions.places import haversine_km
+
+    out = parts.groupBy("n_km", F.least("city1", "city2").alias("city_1"), F.greatest("city1", "city2").alias("city_2")).agg((F.sum("total") / F.sum("n")).alias("mean_similarity")).where("mean_similarity > 0")
     for k in "12":
         out = out.join(centres.toDF(f"city_{k}", f"lat{k}", f"lon{k}"), f"city_{k}")
     return out.select("n_km", "city_1", "city_2", "mean_similarity", (haversine_km(*(F.col(c) for c in ("lat1", "lon1", "lat2", "lon2"))) * 1000).alias("center_dist"))
@@ -146,6 +171,13 @@ def diff(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> DataFra
     return old.select(*keys, F.col(value).alias("old")).join(new.select(*keys, F.col(value).alias("new")), keys, "full").withColumn("delta", F.coalesce("new", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))
 
 
+def diff_in_rows(rows: DataFrame, keys: list[str], old: Column, new: Column) -> DataFrame:
+    """diff of two tables made of the same rows, each unique by keys, so that nothing has to meet: a null stands for a row
+    that a table lacks."""
+    both = rows.select(*keys, old.alias("old"), new.alias("new")).where(F.col("old").isNotNull() | F.col("new").isNotNull())
+    return both.withColumn("delta", F.coalesce("new", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))
+
+
 def equal_pairs(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """How many pairs of rows share a key, from counts by key alone."""
     n = lambda df, name: df.groupBy(key).agg(F.count("*").alias(name))

@@ -340,3 +340,78 @@ def test_sinks(spark, tmp_path, vectors):
     sources.write_with_sidecar(found, f"{tmp_path}/t", {"rows": 3, "a": 1})
     assert spark.read.text(f"{tmp_path}/t.facts").first()[0] == '{"a":1,"rows":3}'
     assert sources.purge(spark, f"{tmp_path}", ["t", "none"]) == ["t"]
+
+
+def _some_cells(spark, n=120, cities=4, seed=1):
+    draw = np.random.default_rng(seed)
+    data = [(f"{i}", f"c{draw.integers(cities)}", draw.normal(size=6).round(1).tolist()) for i in range(n)]  # ids aren't in order as texts
+    return spark.createDataFrame([*data, ("null", "c0", None), ("zero", "c1", [0.0] * 6)], "hex_id string, city string, vec array<double>")
+
+
+@pytest.mark.parametrize("block", [7, 1000])
+def test_edges_have_the_smaller_id_first(spark, block):
+    c = _some_cells(spark)
+    found = rows(pairs.cosine_pairs(c, 0.3, block_rows=block).withColumn("similarity", F.round("similarity", 9)))
+    assert found and all(r[0] < r[1] for r in found)
+    assert found == rows(pairs.cosine_pairs_sql(c, 0.3).withColumn("similarity", F.round("similarity", 9)))
+
+
+def test_sums_of_pairs_never_leave_their_blocks_as_edges(spark):
+    c = _some_cells(spark)
+    e = pairs.cosine_pairs(c, 0.1)
+    parts = pairs.pair_sums(c, 0.1, block_rows=7)
+    assert parts.count() < e.count() / 2
+    keep = lambda df: [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows(df)]
+    assert keep(edges.zero_filled_sums(parts, c)) == keep(edges.zero_filled(e, c))
+
+
+def test_sums_of_pairs_by_the_label_of_the_smaller_id(spark):
+    c = _some_cells(spark).withColumn("shard", F.length("hex_id"))
+    found = pairs.pair_sums(c, -1.0, keep_all=True, label="shard", ordered=True, block_rows=7)
+    e = pairs.cosine_pairs(c, -1.0, keep_all=True).withColumns({"a": F.length("hex_id1").cast("string"), "b": F.length("hex_id2").cast("string")})
+    want = e.groupBy("city1", "a", "city2", "b").agg(F.count("*"), F.round(F.sum("similarity"), 6), F.round(F.max("similarity"), 6))
+    assert rows(found.groupBy("city1", "label1", "city2", "label2").agg(F.sum("n"), F.round(F.sum("total"), 6), F.round(F.max("max"), 6))) == rows(want)
+
+
+@pytest.mark.parametrize("copies", [False, True])
+def test_percentiles_of_pairs_from_counts(spark, copies):
+    c = _some_cells(spark)
+    c = c.withColumn("vec", F.when(F.length("hex_id") < 3, F.array(*map(F.lit, [1.0, 0.5, 0.0, 0.0, 0.0, 0.0]))).otherwise(F.col("vec"))) if copies else c
+    want = edges.summarise_pairs(pairs.cosine_pairs(c, -1.0, keep_all=True))
+    found = pairs.pair_percentiles(c, [0.5, 0.9, 0.95], block_rows=7)
+    flat = found.select("city_1", "city_2", "avg", *(F.get("p", F.lit(i)) for i in range(3)), "max", "pair_count")
+    for a, b in zip(rows(flat), rows(want), strict=True):
+        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], abs=1e-9)
+
+
+def test_capped_pairs_go_on_to_the_next_prefix(spark):
+    c = _some_cells(spark, 60, 2)
+    near = lambda m: pairs.best_pairs(c, -0.5, m, block_rows=7).withColumnsRenamed({"hex_id1": "id1", "hex_id2": "id2"}).withColumns({"hex_id1": F.col("id1"), "hex_id2": F.lit("x")})
+    columns = ["city1", "city2", "id1", "id2"]
+    assert rows(pairs.cap_best(near, 15, 1, 0, most=2), *columns) == rows(pairs.cap_pairs(near(10_000), 15, 1, 0), *columns)
+
+
+def test_best_pairs_of_equals_have_the_smaller_ids(spark):
+    c = spark.createDataFrame([(f"{k}{i:02}", k, [1.0, 0.0]) for k in "ab" for i in range(20)], "hex_id string, city string, vec array<double>")
+    assert rows(pairs.best_pairs(c, 0.1, 3, block_rows=4), "hex_id1", "hex_id2") == [("a00", "b00"), ("a00", "b01"), ("a00", "b02")]
+
+
+def test_topk_keeps_no_more_equals_than_k(spark):
+    c = spark.createDataFrame([(f"{k}{i:02}", k, [1.0, 1e-12 * i]) for k in "ab" for i in range(20)], "id string, city string, vec array<double>")
+    squares = pairs._squares(pairs._blocks(c, 4), pairs._blocks(c, 4), False)
+    assert pairs._compare(squares, lambda: pairs._TopK(2, -np.inf), pairs.EDGE, False).count() <= 40 * 2 * 8
+    assert {r[1][1:] for r in rows(pairs.topk_pairs(c, c, 2, block_rows=4), "id1", "id2")} == {"00", "01"}
+
+
+def test_a_block_is_sent_once_to_each_square(spark):
+    c = _some_cells(spark, 400).withColumnRenamed("hex_id", "id")
+    blocks = pairs._blocks(c, 4)
+    sent = pairs._squares(blocks, blocks, True).count()
+    assert blocks[1] > 90 and sent == blocks[1] * (pairs.LEAST_SIDES + 1)
+
+
+def test_diff_in_rows_is_diff(spark):
+    df = spark.createDataFrame([(1, 0.5), (2, 0.2), (3, 0.9)], "id int, s double")
+    old, new = F.when(F.col("s") > 0.3, F.col("s")), F.when(F.col("s") < 0.8, F.col("s") * 2)
+    one, two = (df.withColumn("s", x).where("s is not null") for x in (old, new))
+    assert rows(edges.diff_in_rows(df, ["id"], old, new)) == rows(edges.diff(one, two, ["id"], "s"))
