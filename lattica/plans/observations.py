@@ -100,7 +100,7 @@ def _suppliers(spark, sf) -> DataFrame:
 @_query(f"WITH {_PL} SELECT id1, id2, round(d, 6) AS dist_pair FROM (SELECT a.id AS id1, b.id AS id2, {_HAV.format(a='a.lat', b='b.lat', c='a.lon', d='b.lon')} AS d FROM p a JOIN p b ON a.id < b.id WHERE a.city = b.city) WHERE d > 0")
 def pair_distances(spark, sf):
     s = _suppliers(spark, sf)
-    return _rounded(spatial.pair_distances(s, "city").select("id1", "id2", "dist_pair"))
+    return spatial.pair_distances(s, "city", 6).select("id1", "id2", "dist_pair")
 
 
 @_query(f"WITH {_PL}, c AS (SELECT city, avg(lat) AS a, avg(lon) AS o FROM p GROUP BY 1) SELECT id, round({_HAV.format(a='lat', b='a', c='lon', d='o')} * 1000, 3) AS h3_cbd_dist FROM p JOIN c USING (city)")

@@ -415,3 +415,24 @@ def test_diff_in_rows_is_diff(spark):
     old, new = F.when(F.col("s") > 0.3, F.col("s")), F.when(F.col("s") < 0.8, F.col("s") * 2)
     one, two = (df.withColumn("s", x).where("s is not null") for x in (old, new))
     assert rows(edges.diff_in_rows(df, ["id"], old, new)) == rows(edges.diff(one, two, ["id"], "s"))
+
+
+def test_pair_distances_by_blocks(spark, monkeypatch):
+    draw = np.random.default_rng(3)
+    data = [(f"{i}", draw.uniform(-60, 60), draw.uniform(-180, 180), int(i % 3)) for i in range(60)] + [("7", 0.0, 0.0, 1), (None, 1.0, 1.0, 1), ("x", None, 1.0, 1)]
+    p = spark.createDataFrame(data, "id string, lat double, lon double, city int")
+    monkeypatch.setattr(spatial, "PLACES", 4)
+    a, b = (p.select("city", *(F.col(c).alias(f"{c}{k}") for c in ("id", "lat", "lon"))) for k in (1, 2))
+    d = places.haversine_km(*(F.col(c) for c in ("lat1", "lon1", "lat2", "lon2")))
+    want = a.join(b, "city").where("id1 < id2").select("id1", "id2", "city", F.round(d, 6).alias("d")).where("d > 0")
+    assert rows(spatial.pair_distances(p, "city", 6)) == rows(want)
+    assert spatial.pair_distances(p, "city").rdd.getNumPartitions() >= 16  # three groups are more than three pieces of work
+
+
+def test_places_that_share_a_position_meet_once(spark):
+    left = spark.range(3000).select("id", F.lit(0.0).alias("lat"), (F.col("id") % 2).cast("double").alias("lon"))
+    right = spark.range(5000, 8000).select("id", F.lit(0.0).alias("lat"), (F.col("id") % 2 + 0.25).cast("double").alias("lon"))
+    found = spatial.nearest_pairs(left, right, 1_000_000.0)
+    assert found.groupBy(F.col("id_first") % 2, "id_second").count().sort("id_second").collect() == [(0, 5000, 1500), (1, 5001, 1500)]
+    joined = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [x_l" in joined and "Aggregate [x_r" in joined
