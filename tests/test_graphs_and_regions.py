@@ -64,3 +64,16 @@ def test_partitions_are_replaced_alone(spark, tmp_path):
     spark.createDataFrame([("x", 1), ("y", 1)], "city string, v int").write.partitionBy("city").parquet(path)
     sources.replace_partitions(spark.createDataFrame([("y", 2), ("z", 3)], "city string, v int"), path, ["city"])
     assert sorted(tuple(r) for r in spark.read.parquet(path).select("city", "v").collect()) == [("x", 1), ("y", 2), ("z", 3)]
+
+
+def test_blocks_of_boxes_meet_as_rings_do(spark, monkeypatch):
+    monkeypatch.setattr(regions, "BOXES", 3)
+    i = F.col("id")
+    box = regions.box_ring((i * 37 % 40).cast("double"), (i * 23 % 30).cast("double"), (i * 37 % 40 + 6).cast("double"), (i * 23 % 30 + 4).cast("double"))
+    ring = F.when(i % 5 == 0, F.slice(box, 1, 3)).otherwise(box)  # triangles among the boxes
+    a, b = (spark.range(n, n + 30).select("id", ring.alias("ring")) for n in (0, 100))
+    pairs = a.select(i.alias("x"), F.col("ring").alias("p")).crossJoin(b.select(i.alias("y"), F.col("ring").alias("q")))
+    want = pairs.where(regions.rings_meet(F.col("p"), F.col("q"))).select("x", "y")
+    assert sorted(map(tuple, regions.intersecting(a, b).collect())) == sorted(map(tuple, want.collect()))
+    boxes = [d.where(i % 5 != 0) for d in (a, b)]
+    assert "MapInArrow" in regions.intersecting(*boxes)._jdf.queryExecution().toString()
