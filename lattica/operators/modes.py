@@ -2,23 +2,41 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, normalise
+from ..functions.vectors import dot
+from . import many_modes
 
 #: Centroids are a codebook: k rows, which every task gets.
 MAX_CENTROIDS = 100_000
+#: MLlib chooses first centroids among several times k rows on the driver, one by one: a number of steps that grows with k squared.
+MLLIB_MODES = 512
+
+
+def _fit(df: DataFrame, k: int, vec: str, seed: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids of length 1, and the number of rows nearest to each."""
+    if k > MLLIB_MODES:
+        return many_modes.fit(df, k, vec, seed, rounds)
+    rows = many_modes.units(df, vec).select(array_to_vector("vec").alias("features")).persist()
+    try:
+        centres = np.array(KMeans(k=k, seed=seed, maxIter=rounds, distanceMeasure="cosine").fit(rows).clusterCenters())
+    finally:
+        rows.unpersist()
+    length = np.linalg.norm(centres, axis=1)[:, None]
+    centres = centres / np.where(length > 0, length, 1)
+    return centres, many_modes.sizes(many_modes.units(df, vec), centres)
 
 
 def fit_codebook(df: DataFrame, k: int, vec: str = "vec", seed: int = 0, rounds: int = 20) -> DataFrame:
     """mode_id and centroid (length 1) of spherical k-means."""
-    rows = df.select(array_to_vector(normalise(F.col(vec), reject_zero=True)).alias("features")).where("features is not null")
-    model = KMeans(k=k, seed=seed, maxIter=rounds, distanceMeasure="cosine").fit(rows)
-    centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    return df.sparkSession.createDataFrame(centres, "mode_id int, centroid array<double>").withColumn("centroid", normalise(F.col("centroid")))
+    centres, _ = _fit(df, k, vec, seed, rounds)
+    book = {"mode_id": pa.array(range(len(centres)), pa.int32()), "centroid": pa.array(list(centres), pa.list_(pa.float64()))}
+    return df.sparkSession.createDataFrame(pa.table(book))
 
 
 def assign_modes(df: DataFrame, centroids: DataFrame, vec: str = "vec") -> DataFrame:
@@ -82,7 +100,7 @@ def adjusted_rands(runs: DataFrame, run: str, key: str, label: str) -> DataFrame
     return ari.agg(F.count("*").alias("n_pairs"), F.percentile("ari", F.lit(0.5)).alias("median"), F.avg("ari").alias("mean"), F.min("ari").alias("min"), F.max("ari").alias("max"), F.stddev_pop("ari").alias("std"))
 
 
-def codebook_candidates(df: DataFrame, ks: list[int], vec: str = "vec", seed: int = 0) -> DataFrame:
+def codebook_candidates(df: DataFrame, ks: list[int], vec: str = "vec", seed: int = 0, rounds: int = 20) -> DataFrame:
     """k, status and n_modes of a codebook for each k: ok, more modes than rows, or empty modes."""
     n = df.where(F.col(vec).isNotNull()).limit(max(ks) + 1).count()
     rows = []
@@ -90,8 +108,7 @@ def codebook_candidates(df: DataFrame, ks: list[int], vec: str = "vec", seed: in
         if k > n or k < 2:
             rows.append((k, "invalid_k", 0))
             continue
-        book = fit_codebook(df, k, vec, seed)
-        used = assign_modes(df, book, vec).select("mode_id").distinct().count()
+        used = int((_fit(df, k, vec, seed, rounds)[1] > 0).sum())
         rows.append((k, "ok" if used == k else "empty_modes", used))
     return df.sparkSession.createDataFrame(rows, "k int, status string, n_modes int")
 

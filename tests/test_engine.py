@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from lattica import sources, streaming
 from lattica.functions import names, places
 from lattica.functions import vectors as V
-from lattica.operators import cells, contracts, edges, modes, pairs, panels, spatial, tables
+from lattica.operators import cells, contracts, edges, many_modes, modes, pairs, panels, spatial, tables
 from lattica.plans import observations, similarity
 
 
@@ -270,6 +271,38 @@ def test_modes(spark):
     assert modes.fit_codebook(df, 2).select(F.round(V.norm(F.col("centroid")), 9)).distinct().count() == 1
 
 
+def _vectors(spark, x):
+    return spark.createDataFrame([(v.tolist(),) for v in x], "vec array<double>")
+
+
+def test_nearly_as_many_modes_as_rows_leave_none_empty(spark):
+    df = _vectors(spark, np.random.default_rng(1).normal(size=(620, 8)))
+    assert rows(modes.codebook_candidates(df, [4, 600, 620, 621])) == [(4, "ok", 4), (600, "ok", 600), (620, "ok", 620), (621, "invalid_k", 0)]
+    assert modes.fit_codebook(df, 600).where("size(centroid) = 8").count() == 600
+
+
+def test_thousands_of_modes_take_seconds(spark):
+    x, began = np.random.default_rng(4).normal(size=(5000, 64)), time.monotonic()
+    assert rows(modes.codebook_candidates(_vectors(spark, x), [4900])) == [(4900, "ok", 4900)]
+    assert time.monotonic() - began < 90  # MLlib's choice of first centroids alone takes longer
+
+
+def test_many_modes_find_the_nearest_centre_of_every_row(spark):
+    x = np.random.default_rng(2).normal(size=(3000, 3))
+    for rounds in (0, 1, 6):
+        centres, n = many_modes.fit(_vectors(spark, x), 520, rounds=rounds)
+        assert np.allclose(np.linalg.norm(centres, axis=1), 1)
+        assert np.array_equal(n, np.bincount((x / np.linalg.norm(x, axis=1)[:, None] @ centres.T).argmax(1), minlength=520)) and n.min() > 0
+    assert np.array_equal(many_modes.sizes(many_modes.units(_vectors(spark, x), "vec"), centres), n)
+
+
+def test_modes_beyond_the_directions_stay_empty(spark):
+    x = np.random.default_rng(3).normal(size=(100, 4))
+    df = _vectors(spark, np.concatenate([k * x for k in range(8)]))  # 100 rows have no direction
+    nothing = spark.createDataFrame([(None,), ([1.0, None, 0.0, 0.0],)], df.schema)
+    assert rows(modes.codebook_candidates(df.unionByName(nothing), [600])) == [(600, "empty_modes", 100)]
+
+
 def test_places(spark):
     df = spark.createDataFrame([(41.0, -72.0)], "lat double, lon double")
     fine = df.select(places.cell(F.col("lat"), F.col("lon"), 12).alias("c"))
