@@ -56,6 +56,28 @@ def test_topk_passes_over_the_own_city(spark):
     assert rows(pairs.topk_pairs(c, c, 1), "id1", "id2") == [("l1", "p2"), ("p1", "l1"), ("p2", "l1")]
 
 
+def test_topk_of_a_table_with_itself_meets_two_blocks_once(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    m = r.integers(-2, 3, (240, 3)).astype(float)
+    m[:60] = [1.0, 2.0, 0.0]  # many equals
+    m[60] = 0.0
+    cells_ = [(str(i), "ABCD"[i % 4], m[i].tolist()) for i in range(len(m))]
+    c = spark.createDataFrame(cells_, "id string, city string, vec array<float>")
+    n = np.linalg.norm(m, axis=1)[:, None]
+    s = (m / np.where(n > 0, n, 1)) @ (m / np.where(n > 0, n, 1)).T
+    for k, least, block in ((3, -1.0, 40), (3, -1.0, 1000), (70, 0.5, 7)):
+        wanted = []
+        for i, (one, city, _) in enumerate(cells_):
+            near = sorted((-round(s[i, j], 9), x) for j, (x, other, _) in enumerate(cells_) if other != city and (least <= -1 or s[i, j] >= least + 1e-9))
+            wanted += [(one, x, rank + 1) for rank, (_, x) in enumerate(near[:k])]
+        kinds, squares = [], pairs._squares
+        monkeypatch.setattr(pairs, "_squares", lambda a, b, upper: kinds.append(upper) or squares(a, b, upper))  # noqa: B023
+        own, other = pairs.topk_pairs(c, c, k, least + 1e-9 if least > -1 else least, block), pairs.topk_pairs(c, c.select("*"), k, least + 1e-9 if least > -1 else least, block)
+        monkeypatch.undo()
+        assert kinds == [True, False]
+        assert rows(own, "id1", "id2", "rank") == rows(other, "id1", "id2", "rank") == sorted(wanted)
+
+
 def test_topk_across_cities_has_every_cell(spark):
     sf = "/root/testdata/sf0.001"
     found = similarity.topk_across_cities(spark, sf)
