@@ -78,6 +78,24 @@ def test_topk_of_a_table_with_itself_meets_two_blocks_once(spark, monkeypatch):
         assert rows(own, "id1", "id2", "rank") == rows(other, "id1", "id2", "rank") == sorted(wanted)
 
 
+def test_edges_of_two_cities_come_from_few_tasks_and_are_written_in_place(spark, tmp_path):
+    c = _some_cells(spark, 300)
+    found = pairs.cosine_pairs(c, 0.1, block_rows=10, by_city=True)
+    columns = ("hex_id1", "hex_id2", "city1", "city2", F.round("similarity", 9))
+    assert rows(found, *columns) == rows(pairs.cosine_pairs(c, 0.1), *columns)
+    blocks, _, sides = pairs._blocks(c.withColumnRenamed("hex_id", "id"), 10, by_city=True)
+    assert blocks.agg(F.max(F.size(F.array_distinct("cities")))).first()[0] <= 2 and sides == pairs.LEAST_SIDES
+    names = ("spark.sql.maxConcurrentOutputFileWriters", "spark.sql.optimizer.plannedWrite.enabled")
+    before = [spark.conf.get(k, None) for k in names]
+    sources.write_pairs(found, f"{tmp_path}/pairs", in_place=True)
+    assert [spark.conf.get(k, None) for k in names] == before
+    back = spark.read.parquet(f"{tmp_path}/pairs")
+    assert rows(back, *columns) == rows(found, *columns)
+    assert back.where("cast(part1 as string) <> city1 or cast(part2 as string) <> city2").isEmpty()
+    own = similarity._narrow_cells(spark, "/root/testdata/sf0.001")
+    assert own.schema["vec"].dataType.simpleString() == "array<float>"
+
+
 def test_topk_across_cities_has_every_cell(spark):
     sf = "/root/testdata/sf0.001"
     found = similarity.topk_across_cities(spark, sf)
