@@ -96,6 +96,14 @@ def test_edges_of_two_cities_come_from_few_tasks_and_are_written_in_place(spark,
     assert own.schema["vec"].dataType.simpleString() == "array<float>"
 
 
+def test_blocks_of_floats_are_sent_as_floats(spark, monkeypatch):
+    sent, compare = [], pairs._compare
+    monkeypatch.setattr(pairs, "_compare", lambda squares, *a: sent.append(squares.schema["all"].dataType.simpleString()) or compare(squares, *a))
+    similarity.cosine_edges(spark, "/root/testdata/sf0.001")
+    pairs.cosine_pairs(_some_cells(spark, 20))
+    assert sent == ["array<float>", "array<double>"]
+
+
 def test_topk_across_cities_has_every_cell(spark):
     sf = "/root/testdata/sf0.001"
     found = similarity.topk_across_cities(spark, sf)
